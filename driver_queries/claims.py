@@ -26,46 +26,37 @@ def stage1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def passed(spark: SparkSession, d: str) -> DataFrame:
-    """Pass-through claims. Verdict and row share one claim id here, so the gate
-    is an anti join with the convicted ids instead of the six-part key."""
-    facts = pt.facts(spark, d)
-    hits = rl.rule_hits(
-        facts,
-        pt.hcpcs(spark, d),
-        pt.ptp(spark, d),
-        pt.links(spark, d),
-    )
-    return facts.join(hits.select("CLM_ID"), "CLM_ID", "left_anti")
+    """Facts of the pass-through claims, handed over by Stage 1. Verdict and row
+    share one claim id, so the gate is an anti join with the convicted ids."""
+
+    def build(s, path):
+        facts = pt.facts(s, path)
+        hits = rl.rule_hits(facts, pt.hcpcs(s, path), pt.ptp(s, path), pt.links(s, path))
+        return facts.join(hits.select("CLM_ID"), "CLM_ID", "left_anti")
+
+    return pt.stored(spark, d, "passed", build)
 
 
 def triggers(spark: SparkSession, d: str) -> DataFrame:
     return lb.all_triggers(
-        passed(spark, d),
-        pt.ptp(spark, d),
-        pt.links(spark, d),
-        pt.drg(spark, d),
-        strip_dots=True,
+        passed(spark, d), pt.ptp(spark, d), pt.links(spark, d), pt.drg(spark, d), strip_dots=True
     )
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
-    facts = passed(spark, d)
-    summary = lb.claim_risk_summary(
-        lb.all_triggers(
-            facts,
-            pt.ptp(spark, d),
-            pt.links(spark, d),
-            pt.drg(spark, d),
-            strip_dots=True,
-        )
-    )
-    return lb.train_labels(facts, summary)
+    summary = lb.claim_risk_summary(triggers(spark, d))
+    return lb.train_labels(passed(spark, d), summary)
+
+
+def stored_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels handed over by Stage 2a to the feature stage."""
+    return pt.stored(spark, d, "labels", labels)
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
     return ft.build_features(
         pt.facts(spark, d),
-        labels(spark, d),
+        stored_labels(spark, d),
         pt.drg(spark, d),
         pt.beneficiaries(spark, d),
     )

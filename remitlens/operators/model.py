@@ -1,12 +1,161 @@
-"""Placeholder replaced below."""
-from pyspark.sql import DataFrame
+"""Stage 2c: split, boosted trees, scoring and the final join."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from remitlens.schema import CLAIM_KEY
+from pyspark.sql import types as T
+
+from remitlens.operators.keys import null_safe
+from remitlens.schema import CLAIM_KEY, LABEL_SOURCE_COLUMNS
+from remitlens.session import cut_lineage
+
 PROBABILITY = "stage2_denial_probability"
-def best_score_per_key(scored):
+NOT_FEATURES = [*CLAIM_KEY, "is_denied"]
+
+
+class LeakageError(ValueError):
+    pass
+
+
+def check_leakage(df: DataFrame) -> None:
+    """Refuse a table that carries columns the label was derived from."""
+    found = sorted(set(LABEL_SOURCE_COLUMNS) & set(df.columns))
+    if found:
+        raise LeakageError(f"label-source columns in the feature table: {found}")
+
+
+def feature_names(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in NOT_FEATURES]
+
+
+def feature_matrix(df: DataFrame, keep: list[str]) -> DataFrame:
+    """All features as doubles: booleans as 0/1, unreadable or missing values as 0."""
+
+    def number(field: T.StructField) -> Column:
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.BooleanType):
+            value = value.cast("int")
+        return F.coalesce(value.try_cast("double"), F.lit(0.0)).alias(field.name)
+
+    names = set(feature_names(df)) - set(keep)
+    return df.select(*keep, *[number(f) for f in df.schema.fields if f.name in names])
+
+
+def labelled_only(df: DataFrame) -> DataFrame:
+    return df.where(F.col("is_denied").isNotNull())
+
+
+def hash_bucket(text: Column, buckets: int = 100) -> Column:
+    """Stable bucket from the first 32 bits of an MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets
+
+
+def patient_split(df: DataFrame, train_share: int = 80, seed: str = "") -> DataFrame:
+    """``is_train`` by patient. The side is a function of the id alone, so no
+    patient is on both sides and nothing needs to be joined or collected."""
+    bucket = hash_bucket(F.concat(F.lit(seed), F.coalesce("DESYNPUF_ID", F.lit(""))))
+    return df.withColumn("is_train", bucket < train_share)
+
+
+def validation_split(df: DataFrame, val_share: int = 20) -> DataFrame:
+    """``is_val`` by a hash of the row key. It does not look at the label, so each
+    label is split in the same proportion."""
+    key = F.concat_ws("|", F.lit("val"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in CLAIM_KEY])
+    return df.withColumn("is_val", hash_bucket(key) < val_share)
+
+
+def class_balance(df: DataFrame) -> DataFrame:
+    """One row: class counts floored at 1, the positive weight, the positive rate."""
+    counts = df.agg(
+        F.greatest(F.count_if(F.col("is_denied") == 0), F.lit(1)).alias("negatives"),
+        F.greatest(F.count_if(F.col("is_denied") == 1), F.lit(1)).alias("positives"),
+        F.avg(F.col("is_denied").cast("double")).alias("positive_rate"),
+    )
+    return counts.withColumn("positive_weight", F.col("negatives") / F.col("positives"))
+
+
+@dataclass(frozen=True)
+class TreeSettings:
+    """Published settings of the reference model; early stopping watches the
+    validation loss and ``min_rows`` counts rows."""
+
+    trees: int = 400
+    depth: int = 5
+    step: float = 0.05
+    row_share: float = 0.8
+    column_share: str = "0.8"
+    min_rows: int = 7
+    seed: int = 42
+
+
+def train_gbt(features: DataFrame, settings: TreeSettings = TreeSettings()) -> PipelineModel:
+    """Fit on the training patients. The input is stored once, because boosting
+    reads it for every tree."""
+    check_leakage(features)
+    names = feature_names(features)
+    train = patient_split(labelled_only(features)).where("is_train")
+    prepared = cut_lineage(
+        validation_split(
+            feature_matrix(train.drop("is_train"), keep=[*CLAIM_KEY, "is_denied"])
+        ).drop(*CLAIM_KEY),
+        "train",
+    )
+    weight = class_balance(prepared.where(~F.col("is_val"))).select("positive_weight").scalar()
+    weighted = prepared.withColumns(
+        {
+            "label": F.col("is_denied").cast("double"),
+            "row_weight": F.when(F.col("is_denied") == 1, weight).otherwise(1.0),
+        }
+    )
+    trees = GBTClassifier(
+        maxIter=settings.trees,
+        maxDepth=settings.depth,
+        stepSize=settings.step,
+        subsamplingRate=settings.row_share,
+        featureSubsetStrategy=settings.column_share,
+        minInstancesPerNode=settings.min_rows,
+        weightCol="row_weight",
+        validationIndicatorCol="is_val",
+        seed=settings.seed,
+    )
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    return Pipeline(stages=[assembler, trees]).fit(weighted)
+
+
+def model_inputs(model: PipelineModel) -> list[str]:
+    return model.stages[0].getInputCols()
+
+
+def score(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` plus the denial probability, for labelled and unlabelled rows."""
+    names = model_inputs(model)
+    have = set(df.columns)
+    numbers = {
+        n: F.coalesce(F.col(n).try_cast("double"), F.lit(0.0)) if n in have else F.lit(0.0)
+        for n in names
+    }
+    packed = df.withColumns({f"x_{n}": c for n, c in numbers.items()})
+    ready = packed.select(*keep, *[F.col(f"x_{n}").alias(n) for n in names if n not in keep])
+    return model.transform(ready).select(
+        *keep, vector_to_array("probability")[1].alias(PROBABILITY)
+    )
+
+
+def best_score_per_key(scored: DataFrame) -> DataFrame:
     return scored.groupBy(*CLAIM_KEY).agg(F.max(PROBABILITY).alias(PROBABILITY))
-def final_join(stage1, scores):
-    from remitlens.operators.keys import null_safe
-    return stage1.join(scores, null_safe(stage1, scores, CLAIM_KEY), "left").select(
+
+
+def final_join(stage1: DataFrame, scores: DataFrame) -> DataFrame:
+    """Stage 1 rows with their probability; convicted claims have none."""
+    joined = stage1.join(scores, null_safe(stage1, scores, CLAIM_KEY), "left")
+    return joined.select(
         *[stage1[c] for c in stage1.columns],
-        F.when(stage1["stage1_decision"] != "HARD_DENY", scores[PROBABILITY]).alias(PROBABILITY))
+        F.when(stage1["stage1_decision"] != "HARD_DENY", scores[PROBABILITY]).alias(PROBABILITY),
+    )
