@@ -176,10 +176,12 @@ def claim_month_serving(service: Column) -> Column:
 
 
 def safe_double(value: Column, default: float = 0.0) -> Column:
-    return F.coalesce(F.trim(value.cast("string")).try_cast("double"), F.lit(default))
+    """Number from free text; blanks, ``nan``, ``None`` and junk give the default."""
+    text = F.nullif(F.trim(value.cast("string")), F.lit("nan"))
+    return F.coalesce(text.try_cast("double"), F.lit(default))
 
 
 def safe_int(value: Column, default: int = 0) -> Column:
     """Integer by cutting a decimal text towards zero."""
     number = F.trim(value.cast("string")).try_cast("double")
-    return F.coalesce(number.try_cast("int"), F.lit(default))
+    return F.coalesce(number.try_cast("bigint"), F.lit(default).cast("bigint"))
