@@ -218,21 +218,25 @@ def claim_row_context(df: DataFrame) -> Column:
     )
 
 
-def redact(text: Column, fields: list[str] = FORBIDDEN_FIELDS) -> Column:
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _field_pattern(fields: list[str]) -> str:
+    """Whole field names in any case. The leading character test lets the engine
+    pass over ordinary text cheaply."""
+    first = "".join(sorted({c for f in fields for c in (f[0].lower(), f[0].upper())}))
     names = "|".join(re.escape(f) for f in fields)
-    return F.regexp_replace(text, rf"(?iU)\b(?:{names})\b", REDACTED)
+    return rf"(?=[{first}])(?<!{_WORD})((?i:{names}))(?!{_WORD})"
+
+
+def redact(text: Column, fields: list[str] = FORBIDDEN_FIELDS) -> Column:
+    return F.regexp_replace(text, _field_pattern(fields), REDACTED)
 
 
 def redaction_reason(text: Column, fields: list[str] = FORBIDDEN_FIELDS) -> Column:
     """Names found in the text, sorted; '' when there are none."""
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(text.rlike(rf"(?iU)\b{re.escape(f)}\b"), f)
-                for f in sorted(fields)
-            ]
-        )
-    )
+    hits = F.regexp_extract_all(text, F.lit(_field_pattern(fields)), F.lit(1))
+    found = F.array_sort(F.array_distinct(F.transform(hits, F.lower)))
     return F.when(
         F.size(found) > 0, F.concat(F.lit(GUARDRAIL_REASON), F.array_join(found, ", "))
     ).otherwise("")
