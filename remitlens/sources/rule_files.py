@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,7 +158,7 @@ def read_drg_table5(
     names = spark.read.option("pathGlobFilter", pattern).text(folder).inputFiles()
     if not names:
         return None
-    raw = spark.read.option("sep", "\t").option("header", True).csv(sorted(names)[0])
+    raw = spark.read.option("sep", "\t").option("header", True).csv(unquote(sorted(names)[0]))
     target: dict[str, str] = {}
     for header in raw.columns:
         for word, name in TABLE5_HEADERS:
