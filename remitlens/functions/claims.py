@@ -93,7 +93,7 @@ def count_populated(
 def code_array(df: DataFrame) -> Column:
     """The filled procedure slots of one claim row, trimmed, repeats kept."""
     names = slot_names(df, PROCEDURES)
-    return F.filter(F.array(*[present(F.col(n)) for n in names]), lambda c: c.isNotNull())
+    return F.filter(F.array(*[F.trim(F.col(n)) for n in names]), lambda c: c != "")
 
 
 def optional(df: DataFrame, name: str, cast: str, default=None) -> Column:

@@ -20,24 +20,32 @@ def con():
     return oc.connect(SF)
 
 
+def check_plan(name, df):
+    """No products, and Python only where the operator needs it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    if name not in PYTHON_ALLOWED:
+        assert "Python" not in plan and "InPandas" not in plan
+
+
+def planned(name):
+    def query(spark, sf_dir):
+        df = QUERIES[name](spark, sf_dir)
+        check_plan(name, df)
+        return df
+
+    return query
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_same_rows_as_sql(spark, con, name):
-    assert oc.differences(spark, con, SF, QUERIES[name], SQL[name]) == ""
+    assert oc.differences(spark, con, SF, planned(name), SQL[name]) == ""
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_has_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
-
-
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_")])
-def test_plan_has_no_product_and_no_stray_python(spark, name):
-    df = QUERIES[name](spark, SF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    if name not in PYTHON_ALLOWED:
-        assert "Python" not in plan and "InPandas" not in plan
+    assert planned(name)(spark, SF).count() > 0
 
 
 def test_sql_and_queries_have_no_strays():
