@@ -62,7 +62,7 @@ def test_ptp_periods_in_subfolders(spark, tmp_path):
 
 
 def test_drg_merge_and_links(spark, tmp_path):
-    (tmp_path / "h.TXT").write_text("20701.50 73 40\n208     x  5 10\n207 2.00  9 41\n")
+    (tmp_path / "h.TXT").write_text("207  1.50  7 40\n208     x  5 10\n207  2.00  9 41\n")
     (tmp_path / "FY Table 5.tsv").write_text(
         "MS-DRG\tType DRG\tWeights\tGeometric mean LOS\n207\tm\t\t11.5\n301\tm\t3.0\t2.5\n"
     )
