@@ -268,7 +268,7 @@ def _upload(spark, d):
 
 
 def _context_json(spark, d):
-    """One nested context file per nation of the customers, read with its schema."""
+    """One nested context document per customer, read with its schema."""
     customer = ad.table(spark, d, "customer")
     claim = F.struct(
         F.col("c_custkey").cast("string").alias("claim_id"),
