@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, chat_collapse, host_quality, packing, token_counts, url_filter
+from . import (
+    bpe_tree,
+    chat_collapse,
+    host_quality,
+    lsh_forest,
+    packing,
+    suffix_dedup,
+    token_counts,
+    url_filter,
+)
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_host_quality": host_quality.op4_host_quality,
     "op5_bpe_tree": bpe_tree.op5_bpe_tree,
     "op6_packing": packing.op6_packing,
+    "op7_lsh_forest": lsh_forest.op7_lsh_forest,
     "op9_chat_collapse": chat_collapse.op9_chat_collapse,
     "op10_url_filter": url_filter.op10_url_filter,
 }
