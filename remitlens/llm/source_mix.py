@@ -85,7 +85,10 @@ def mix(
     source_col: str = "source",
     weight_col: str | None = None,
 ) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words) of every row."""
+    """``doc_id``, ``tie``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words) of every row.
+
+    ``tie`` is the MD5 of the text, which with the id names the row.
+    """
     text = F.col(text_col).cast("string")
     odds = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
     measured = docs.select(
@@ -139,8 +142,9 @@ def mix(
         rows = cut_lineage(rows, "filled")
     copies = (F.col("whole") + F.col("chosen").cast("int")).cast("long")
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+        "doc_id", "tie", "source", "size", "source_size", "target",
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+    )
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

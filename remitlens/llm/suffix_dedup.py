@@ -88,10 +88,11 @@ def _smallest(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray]
     return at, hashes[at]
 
 
-def _in_order(docs: pa.Table) -> list[tuple[int | None, bytes]]:
-    """The documents of a group by id (null first) and text."""
+def _in_order(docs: pa.Table) -> list[tuple[int | None, bytes, int]]:
+    """The documents of a group by id (null first) and text, and their row numbers."""
     texts = ((t or "").encode() for t in docs["text"].to_pylist())
-    return sorted(zip(docs["doc_id"].to_pylist(), texts), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = zip(docs["doc_id"].to_pylist(), texts, range(docs.num_rows))
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
 def _group_anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,9 +254,20 @@ def cut_documents(
     hot: int = HOT,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
+    as_text: bool = False,
 ) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``starts``/``ends`` of the removed runs, ``kept`` (bytes left)."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``starts``/``ends`` of the removed runs, ``kept`` (bytes left).
+
+    ``carry`` names further columns of ``docs`` to return (as ``carried``, a struct).
+    With ``as_text``, ``kept`` is a string without the characters that a cut has split.
+    """
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        F.struct(*[F.col(c) for c in carry] or [F.lit(None).cast("int").alias("none")]).alias("carried"),
+    )
+    carried_type = rows.schema["carried"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = buckets = int(max(1, -(-total // group_bytes)))
     # one exchange of the texts, which all three passes over them share
@@ -272,7 +284,7 @@ def cut_documents(
 
     def announce(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         """The distinct anchor hashes of a group, and whether each stands at several places."""
-        _, _, hashes = _group_anchors([t for _, t in _in_order(docs)], length, k)
+        _, _, hashes = _group_anchors([r[1] for r in _in_order(docs)], length, k)
         found, n = np.unique(hashes, return_counts=True)
         order, names, starts = by_bucket(found)
         return pa.table(
@@ -305,7 +317,7 @@ def cut_documents(
         if not docs.num_rows or not told.num_rows:
             return run_schema.empty_table()
         rows = _in_order(docs)
-        number, place, hashes = _group_anchors([t for _, t in rows], length, k)
+        number, place, hashes = _group_anchors([r[1] for r in rows], length, k)
         found = np.unique(hashes)
         order, _, _ = by_bucket(found)
         states = sorted(zip(told["bucket"].to_pylist(), told["state"].to_pylist()))
@@ -396,7 +408,8 @@ def cut_documents(
 
     cut_schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-         ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())]
+         ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())),
+         ("kept", pa.string() if as_text else pa.binary())]
     )
 
     def cut(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -406,7 +419,7 @@ def cut_documents(
         marks = marks[np.lexsort((marks[:, 1], marks[:, 0]))]
         bounds = np.searchsorted(marks[:, 0], np.arange(len(rows) + 1))
         out = []
-        for n, (doc_id, text) in enumerate(rows):
+        for n, (doc_id, text, _) in enumerate(rows):
             own = marks[bounds[n] : bounds[n + 1], 1:]
             starts, ends = [], []
             if len(own):
@@ -420,10 +433,14 @@ def cut_documents(
                 last = b
             left.append(text[last:])
             removed = sum(ends) - sum(starts)
-            out.append((doc_id, len(text), removed, starts, ends, b"".join(left)))
-        return pa.Table.from_arrays(
+            whole = b"".join(left)
+            out.append(
+                (doc_id, len(text), removed, starts, ends, whole.decode("utf-8", "ignore") if as_text else whole)
+            )
+        made = pa.Table.from_arrays(
             [pa.array([r[i] for r in out], f.type) for i, f in enumerate(cut_schema)], schema=cut_schema
         )
+        return made.append_column("carried", docs["carried"].take(pa.array([r[2] for r in rows], pa.int64())))
 
     by_group = dealt.groupBy("g")
     sent = by_group.applyInArrow(announce, "g int, bucket int, hashes binary, again binary")
@@ -435,7 +452,9 @@ def cut_documents(
     )
     marks = runs.groupBy("bucket").applyInArrow(merge, "g int, marks binary")
     return by_group.cogroup(marks.groupBy("g")).applyInArrow(
-        cut, "doc_id bigint, n_bytes bigint, n_removed bigint, starts array<bigint>, ends array<bigint>, kept binary"
+        cut,
+        "doc_id bigint, n_bytes bigint, n_removed bigint, starts array<bigint>, ends array<bigint>, "
+        f"kept {'string' if as_text else 'binary'}, carried {carried_type}",
     )
 
 
