@@ -26,15 +26,8 @@ def stage1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def passed(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of the pass-through claims, handed over by Stage 1. Verdict and row
-    share one claim id, so the gate is an anti join with the convicted ids."""
-
-    def build(s, path):
-        facts = pt.facts(s, path)
-        hits = rl.rule_hits(facts, pt.hcpcs(s, path), pt.ptp(s, path), pt.links(s, path))
-        return facts.join(hits.select("CLM_ID"), "CLM_ID", "left_anti")
-
-    return pt.stored(spark, d, "passed", build)
+    """Facts of the pass-through claims, handed over by Stage 1."""
+    return pt.stored(spark, d, "passed", lambda s, path: lb.gate_pass_through(pt.facts(s, path), stage1(s, path)))
 
 
 def triggers(spark: SparkSession, d: str) -> DataFrame:

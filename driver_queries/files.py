@@ -327,17 +327,19 @@ def _summary_csv(spark, d):
 
 
 def _metrics_csv(spark, d):
-    scored = md.scored_lines(spark, d)
-    curve = ev.pr_curve(scored)
-    sizes = scored.agg(F.count("*").alias("rows_total"))
+    """Both written tables, read back as (name, value)."""
     path = fresh_path(spark, "metrics-csv")
-    tb.write_metrics(
-        ev.metrics_row(scored, sizes, curve), ev.operating_table(scored, ev.best_f1(curve)), path
-    )
-    read = spark.read.option("header", True).schema(
-        "point int, threshold double, precision double, recall double, f1 double"
-    ).csv(f"{path}/operating_table")
-    return read.select("point", *[F.round(c, 6).alias(c) for c in ("threshold", "precision", "recall", "f1")])
+    tb.write_metrics(md.metrics(spark, d), md.operating(spark, d), path)
+    read = spark.read.option("header", True)
+    row = read.csv(f"{path}/metrics")
+    table = read.csv(f"{path}/operating_table")
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in row.columns]
+    listed = [
+        F.struct(F.concat("point", F.lit(f"_{c}")).alias("name"), F.col(c).alias("value"))
+        for c in table.columns if c != "point"
+    ]
+    both = row.select(F.inline(F.array(*pairs))).unionByName(table.select(F.inline(F.array(*listed))))
+    return both.select("name", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 def _model_file(spark, d):
@@ -446,9 +448,11 @@ ORACLE = {
     "scan_denial_fixtures": "select cast(item_id as varchar) id, 'D-MN-003' denial_code, length(text) chars from benchmark",
     "write_parquet_zstd": cl.BASE + "select sample_id, stage1_decision, count(*) claims from stage1 group by all",
     "write_summary_csv": cl.ORACLE["rule_summary"],
-    "write_metrics": md.ORACLE["pr_operating_table"].replace(
-        "point, threshold,", "point, round(threshold,6) threshold,"
-    ),
+    "write_metrics": f"with m as ({md.ORACLE['evaluate']}), t as ({md.ORACLE['pr_operating_table']})"
+    " select name, round(value, 6) as value from (unpivot (select columns(*)::double from m) on columns(*) into name name value value)"
+    " union all select point || '_' || name, round(value, 6) from"
+    " (unpivot (select point, threshold::double threshold, precision::double as precision, recall::double recall, f1::double f1 from t)"
+    " on threshold, precision, recall, f1 into name name value value)",
     "write_model": cl.BASE + "select count(*) as rows, 0 changed from feats",
     "union_files": "select 'ncd' source, cast(page_id as varchar) source_id, cast(page_id%3 as varchar) as version from pages"
     " union all select 'article', cast(doc_id as varchar), cast(doc_id%4 as varchar) from documents",

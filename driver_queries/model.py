@@ -27,28 +27,43 @@ def scored_lines(spark, d):
     )
 
 
+def score_counts(spark, d):
+    """Counts per distinct score, handed from metric to metric."""
+    return pt.stored(spark, d, "score_counts", lambda s, path: ev.score_counts(scored_lines(s, path)))
+
+
+def curve(spark, d):
+    return pt.stored(spark, d, "curve", lambda s, path: ev.pr_curve(score_counts(s, path)))
+
+
+def metrics(spark, d):
+    """The metrics row with the columns of a training run, over the scored lines."""
+    counts = score_counts(spark, d)
+    sizes = ev.row_sizes(counts).select(
+        F.lit(1).alias("sample_id"), F.col("rows_total"), F.col("rows_total").alias("rows_all_features"), "positive_rate"
+    )
+    return ev.metrics_row(counts, sizes, curve(spark, d))
+
+
+def operating(spark, d):
+    return ev.operating_table(score_counts(spark, d), ev.best_f1(curve(spark, d)))
+
+
 def _rounded(df, names, digits=6):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
 def _curve(spark, d):
-    curve = ev.pr_curve(scored_lines(spark, d)).drop("prev_recall")
-    return _rounded(curve, ["precision", "recall"])
+    return _rounded(curve(spark, d).drop("prev_recall"), ["precision", "recall"])
 
 
 def _metrics(spark, d):
-    scored = scored_lines(spark, d)
-    sizes = scored.agg(
-        F.count("*").alias("rows_total"), F.avg("label").alias("positive_rate")
-    )
-    m = ev.metrics_row(scored, sizes)
-    return _rounded(m, [c for c in m.columns if c != "rows_total"])
+    m = metrics(spark, d)
+    return _rounded(m, [c for c in m.columns if c not in ("sample_id", "rows_total", "rows_all_features")])
 
 
 def _operating(spark, d):
-    scored = scored_lines(spark, d)
-    table = ev.operating_table(scored, ev.best_f1(ev.pr_curve(scored)))
-    return _rounded(table, ["precision", "recall", "f1"])
+    return _rounded(operating(spark, d), ["precision", "recall", "f1"])
 
 
 def _labelled(spark, d):
@@ -142,31 +157,22 @@ def _score(spark, d):
 
 
 def _report(spark, d):
-    scored = scored_lines(spark, d)
-    sizes = scored.agg(
-        F.count("*").alias("rows_total"), F.avg("label").alias("positive_rate")
-    )
-    curve = ev.pr_curve(scored)
     return rp.markdown_report(
-        cl.stage1(spark, d),
-        ev.metrics_row(scored, sizes, curve),
-        ev.operating_table(scored, ev.best_f1(curve)),
-        cl.stored_labels(spark, d),
-        sample_id=1,
+        cl.stage1(spark, d), metrics(spark, d), operating(spark, d), cl.stored_labels(spark, d), sample_id=1
     )
 
 
 QUERIES = {
     "pr_curve": _curve,
     "average_precision": lambda s, d: _rounded(
-        ev.average_precision(ev.pr_curve(scored_lines(s, d))), ["pr_auc"]
+        ev.average_precision(curve(s, d)), ["pr_auc"]
     ),
     "best_f1_threshold": lambda s, d: _rounded(
-        ev.best_f1(ev.pr_curve(scored_lines(s, d))),
+        ev.best_f1(curve(s, d)),
         ["best_f1_threshold", "best_f1", "best_precision", "best_recall"],
     ),
     "recall_at_precision": lambda s, d: _rounded(
-        ev.recall_at_precision(ev.pr_curve(scored_lines(s, d)), 0.34),
+        ev.recall_at_precision(curve(s, d), 0.34),
         ["recall_at_precision_080"],
     ),
     "pr_operating_table": _operating,
@@ -218,7 +224,7 @@ ORACLE = {
     "pr_operating_table": _CURVE
     + "select point, threshold, round(precision,6) as precision, round(recall,6) recall, round(f1,6) f1 from op",
     "evaluate": _CURVE
-    + """select (select count(*) from s) rows_total, (select round(avg(label),6) from s) positive_rate,
+    + """select 1 sample_id, (select count(*) from s) rows_total, (select count(*) from s) rows_all_features, (select round(avg(label),6) from s) positive_rate,
  (select round(pr_auc,6) from ap) pr_auc, round(best_f1_threshold,6) best_f1_threshold, round(best_f1,6) best_f1,
  round(best_precision,6) best_precision, round(best_recall,6) best_recall,
  (select round(f1,6) from op where point=0) f1_at_020, (select round(f1,6) from op where point=1) f1_at_030,
@@ -251,3 +257,67 @@ ORACLE = {
     + ",".join(sorted([*FEATURES, "is_denied"]))
     + "' added from feats",
 }
+
+
+def _report_sql():
+    def lines(section, table, texts):
+        listed = ", ".join(t if t.startswith("(") else f"'{t}'" for t in texts)
+        return f"select {section} section, unnest(range({len(texts)}))::int as line, unnest([{listed}]) as text from {table}"
+
+    def n(text, column, end=""):
+        return f"('{text}' || format('{{:,}}', {column}::bigint) || '{end}')"
+
+    def rate(text, count, total):
+        return f"('{text}' || format('{{:,}}', {count}) || ' (' || printf('%.2f', {count} / {total} * 100) || '%)')"
+
+    def f4(text, column):
+        return f"('{text}' || printf('%.4f', {column}::double))"
+
+    first = [
+        "# Sample 01 Performance Report", "", "## Stage 1 (Deterministic Rules)", "",
+        n("- Total claims: ", "total_claims"), rate("- Hard deny: ", "hard_deny_claims", "total_claims"),
+        rate("- Pass to ML: ", "pass_to_ml_claims", "total_claims"),
+        n("- Observed B (guardrail): ", "observed_b_claims"), n("- Observed C (guardrail): ", "observed_c_claims"),
+        n("- Hard deny ∩ observed B: ", "deny_b"), n("- Hard deny ∩ observed C: ", "deny_c"),
+        n("- Hard deny without B/C (potential contradiction bucket): ", "deny_none"),
+    ]
+    second = [
+        "", "## Stage 2 (Boosted trees)", "### Primary Metrics", "",
+        n("- Rows total: ", "rows_total"), f4("- Positive rate: ", "positive_rate"), f4("- PR-AUC: ", "pr_auc"), "",
+        "### Best Threshold Performance (Patient-level split)", "",
+        f4("- Best F1 threshold: ", "best_f1_threshold"), f4("- F1 @ best threshold: ", "best_f1"),
+        f4("- Precision @ best threshold: ", "best_precision"), f4("- Recall @ best threshold: ", "best_recall"), "",
+        "### High-Precision Operating Point", "", f4("- Recall @ Precision>=0.80: ", "recall_080"), "",
+        "### PR Operating Table", "", "| Threshold | Precision | Recall | F1 |", "|-----------|-----------|--------|----|",
+    ]
+    head = [
+        "", "### Denial Source Breakdown (Test Set Positives)", "",
+        "| Source(s) | Count | Percentage |", "|-----------|-------|------------|",
+    ]
+    notes = [
+        "", "## Notes", "",
+        "- Stage 1 B/C values are used for calibration only and excluded from Stage 2 target labels.",
+        "- MUE is treated as a soft feature in SynPUF context (no service unit fields).",
+        n("- Current contradiction bucket size: ", "deny_none", " claims."),
+        "- Patient-level split prevents same beneficiary appearing in both train and test sets.",
+        "- Best threshold optimized for F1 score on test set; may differ from fixed 0.50 threshold.",
+    ]
+    deny = "count(*) filter (stage1_decision='HARD_DENY'"
+    return f"""{cl.BASE},
+mx as ({_CURVE} select (select count(*) from s) rows_total, (select avg(label) from s) positive_rate, (select pr_auc from ap) pr_auc,
+  best.*, (select coalesce(max(recall),0) from curve where precision>=0.8) recall_080 from best),
+ot as ({_CURVE} select point, threshold, precision as p, recall r, f1 from op),
+ov as (select {cl._TOTALS}, {deny} and observed_has_b) deny_b, {deny} and observed_has_c) deny_c,
+  {deny} and not observed_has_b and not observed_has_c) deny_none from stage1),
+src as (select denial_sources, count(*) n from labels where is_denied=1 group by all order by 2 desc, 1 limit 10)
+{lines(1, "ov", first)} union all {lines(2, "mx", second)}
+union all select 3, (row_number() over (order by point) - 1)::int,
+  '| ' || printf('%.4f', threshold::double) || ' | ' || printf('%.4f', p::double) || ' | ' || printf('%.4f', r::double) || ' | ' || printf('%.4f', f1::double) || ' |' from ot
+union all {lines(4, "(select 1 from src limit 1)", head)}
+union all select 5, (row_number() over (order by n desc, denial_sources) - 1)::int,
+  '| ' || case when denial_sources='' then 'none' else denial_sources end || ' | ' || format('{{:,}}', n) || ' | '
+  || printf('%.2f', 100.0::double * n / (select sum(n) from src)) || '% |' from src
+union all {lines(6, "ov", notes)}"""
+
+
+ORACLE["report_markdown"] = _report_sql()

@@ -52,7 +52,7 @@ def _flag(spark, d):
     """Threshold from the metrics of the scored line items."""
     from remitlens.operators import evaluate as ev
 
-    metrics = ev.best_f1(ev.pr_curve(md.scored_lines(spark, d)))
+    metrics = ev.best_f1(md.curve(spark, d))
     base = rows(spark, d).select("row_index", _probability())
     return base.select(
         "row_index",

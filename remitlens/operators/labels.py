@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from remitlens.functions import claims as fc
 from remitlens.operators import rules
-from remitlens.operators.keys import null_safe
 from remitlens.schema import CLAIM_KEY
 
 PAIR_WEIGHT, PAIR_SOURCE = 0.6, "ptp_conflict"
@@ -20,12 +19,13 @@ SYMPTOM_SOURCE = "symptom_primary_definitive_proc"
 
 
 def gate_pass_through(facts: DataFrame, stage1: DataFrame) -> DataFrame:
-    """Claim rows whose key passed Stage 1; NULL key parts match each other,
-    except ``sample_id``, which must be known."""
-    passed = stage1.where(F.col("stage1_decision") == "PASS_TO_ML").select(*CLAIM_KEY)
-    return facts.where(F.col("sample_id").isNotNull()).join(
-        passed, null_safe(facts, passed, CLAIM_KEY), "left_semi"
-    )
+    """Claim rows of a known sample that Stage 1 lets pass.
+
+    A verdict belongs to a claim id, so the gate is an anti join with the distinct
+    convicted ids; rows without an id are never convicted.
+    """
+    convicted = stage1.where(F.col("stage1_decision") == "HARD_DENY").select("CLM_ID").distinct()
+    return facts.where(F.col("sample_id").isNotNull()).join(convicted, "CLM_ID", "left_anti")
 
 
 def _trigger(hit: DataFrame, weight: float, source: str) -> DataFrame:
@@ -82,6 +82,7 @@ def soft_symptom_risk(
         facts.where(F.col("CLM_ID").isNotNull())
         .where(fc.symptom_primary(F.col("first_line_dx"), strip_dots=strip_dots))
         .select("CLM_ID")
+        .distinct()
     )
     return (
         rules.claim_codes(facts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +148,10 @@ def markdown_report(
     labels: DataFrame,
     sample_id: int,
 ) -> DataFrame:
-    """The report as (section, line, text) rows; order by both and write as text."""
+    """The report as (section, line, text) rows; order by both and write as text.
+
+    The headings, line texts and notes below are fixed values of the report.
+    """
 
     def n(name: str) -> Column:
         return F.format_number(F.col(name), 0)
@@ -162,7 +167,9 @@ def markdown_report(
         1,
         [
             F.lit(f"# Sample {sample_id:02d} Performance Report"),
+            F.lit(""),
             F.lit("## Stage 1 (Deterministic Rules)"),
+            F.lit(""),
             F.concat(F.lit("- Total claims: "), n("total_claims")),
             F.concat(
                 F.lit("- Hard deny: "), n("hard_deny_claims"), F.lit(" ("),
@@ -186,17 +193,29 @@ def markdown_report(
         metrics,
         2,
         [
+            F.lit(""),
             F.lit("## Stage 2 (Boosted trees)"),
+            F.lit("### Primary Metrics"),
+            F.lit(""),
             F.concat(F.lit("- Rows total: "), n("rows_total")),
             F.concat(F.lit("- Positive rate: "), f4("positive_rate")),
             F.concat(F.lit("- PR-AUC: "), f4("pr_auc")),
+            F.lit(""),
+            F.lit("### Best Threshold Performance (Patient-level split)"),
+            F.lit(""),
             F.concat(F.lit("- Best F1 threshold: "), f4("best_f1_threshold")),
             F.concat(F.lit("- F1 @ best threshold: "), f4("best_f1")),
             F.concat(F.lit("- Precision @ best threshold: "), f4("best_precision")),
             F.concat(F.lit("- Recall @ best threshold: "), f4("best_recall")),
+            F.lit(""),
+            F.lit("### High-Precision Operating Point"),
+            F.lit(""),
             F.concat(
                 F.lit("- Recall @ Precision>=0.80: "), f4("recall_at_precision_080")
             ),
+            F.lit(""),
+            F.lit("### PR Operating Table"),
+            F.lit(""),
             F.lit("| Threshold | Precision | Recall | F1 |"),
             F.lit("|-----------|-----------|--------|----|"),
         ],
@@ -212,7 +231,7 @@ def markdown_report(
     )
     sources = _lines(
         denial_source_top(labels).withColumn("rank_key", -F.col("claim_count")),
-        4,
+        5,
         ["rank_key", "denial_sources"],
         F.concat(
             F.lit("| "),
@@ -221,4 +240,32 @@ def markdown_report(
             F.format_string("%.2f%%", F.col("share_of_top")), F.lit(" |"),
         ),
     )
-    return first.unionByName(second).unionByName(table).unionByName(sources)
+    # the source table has a heading only where a claim is labelled as denied
+    denied = labels.agg(F.count_if(F.col("is_denied") == 1).alias("denied")).where("denied > 0")
+    source_head = _fixed(
+        denied,
+        4,
+        [
+            F.lit(""),
+            F.lit("### Denial Source Breakdown (Test Set Positives)"),
+            F.lit(""),
+            F.lit("| Source(s) | Count | Percentage |"),
+            F.lit("|-----------|-------|------------|"),
+        ],
+    )
+    notes = _fixed(
+        guardrail_overlap(stage1),
+        6,
+        [
+            F.lit(""),
+            F.lit("## Notes"),
+            F.lit(""),
+            F.lit("- Stage 1 B/C values are used for calibration only and excluded from Stage 2 target labels."),
+            F.lit("- MUE is treated as a soft feature in SynPUF context (no service unit fields)."),
+            F.concat(F.lit("- Current contradiction bucket size: "), n("hard_deny_without_bc"), F.lit(" claims.")),
+            F.lit("- Patient-level split prevents same beneficiary appearing in both train and test sets."),
+            F.lit("- Best threshold optimized for F1 score on test set; may differ from fixed 0.50 threshold."),
+        ],
+    )
+    parts = [first, second, table, source_head, sources, notes]
+    return reduce(DataFrame.unionByName, parts)

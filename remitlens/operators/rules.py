@@ -156,7 +156,8 @@ def undiagnosed_linked_claims(facts: DataFrame, links: DataFrame) -> DataFrame:
         .distinct()
     )
     with_code = claim_codes(facts).join(linked_codes(links), "hcpcs_code", "left_semi")
-    return bare.join(with_code, "CLM_ID", "left_semi")
+    # one row per claim before the shuffle, however many codes a claim holds
+    return bare.join(with_code.select("CLM_ID").distinct(), "CLM_ID", "left_semi")
 
 
 def rule_hits(

@@ -105,7 +105,9 @@ def run_features(
     return features
 
 
-def run_training(features: DataFrame, out: str, settings: TreeSettings = TreeSettings()):
+def run_training(
+    features: DataFrame, out: str, settings: TreeSettings = TreeSettings(), sample_id: int = 1
+):
     """(model, metrics): fitted on the training patients, measured on the others."""
     model = ml.train_gbt(features, settings)
     tb.write_model(model, f"{out}/model")
@@ -118,15 +120,17 @@ def run_training(features: DataFrame, out: str, settings: TreeSettings = TreeSet
         f"{out}/test_scores",
     )
     sizes = sided.agg(
+        F.lit(sample_id).alias("sample_id"),
         F.count("*").alias("rows_total"),
+        F.lit(features.count()).alias("rows_all_features"),
         F.count_if(F.col("is_train") & ~F.col("is_val")).alias("rows_train"),
         F.count_if(F.col("is_train") & F.col("is_val")).alias("rows_val"),
         F.count_if(~F.col("is_train")).alias("rows_test"),
         F.avg("is_denied").alias("positive_rate"),
     )
-    curve = ev.pr_curve(scored)
-    metrics = _store(ev.metrics_row(scored, sizes, curve), f"{out}/metrics_table")
-    operating = ev.operating_table(scored, metrics)
+    counts = ev.score_counts(scored)
+    metrics = _store(ev.metrics_row(counts, sizes), f"{out}/metrics_table")
+    operating = ev.operating_table(counts, metrics)
     tb.write_metrics(metrics, operating, f"{out}/metrics")
     return model, metrics, operating
 
@@ -149,7 +153,7 @@ def run_all(
     facts, verdicts = run_stage1(spark, claims, rules, out)
     labels = run_labels(facts, verdicts, rules, out, strip_dots)
     features = run_features(facts, labels, rules["drg"], bene, out)
-    model, metrics, operating = run_training(features, out, settings)
+    model, metrics, operating = run_training(features, out, settings, sample_id)
     tb.write_report(
         rp.markdown_report(verdicts, metrics, operating, labels, sample_id), f"{out}/report"
     )
