@@ -96,9 +96,16 @@ def _scored(spark, d):
     return up.score_upload(rows(spark, d), md.model(spark, d)).drop("preemptive_note")
 
 
+def _refused(spark, d):
+    """An upload without two required columns: no row is scored, all are counted as rejected."""
+    return up.status_counts(up.score_upload(rows(spark, d).drop("claim_id", "drg_code"), md.model(spark, d)))
+
+
 QUERIES = {
     "feature_row_serving": lambda s, d: featured(s, d).drop("signals", "upload_id", "claim_id"),
     "upload_schema_check": _check,
+    "upload_row_errors": lambda s, d: up.row_error_rows(rows(s, d)),
+    "upload_refused": _refused,
     "risk_signals": _signals,
     "reason_from_probability": _reason,
     "preemptive_note": _note,
@@ -140,7 +147,7 @@ b as (select *, case when p>=0.8 then 'D-MN-003' when p>=0.6 then 'D-COVERAGE-00
      when p>=0.45 then printf('Borderline denial risk (%.3f); verify authorization and coding alignment.', p)
      else printf('Lower denial risk (%.3f) but manual validation is still recommended.', p) end rationale from s),
 ro as (select k row_index, upload_id, claim_id, case when blank then 'rejected' when upload_id=3 then 'fallback' else 'scored' end status,
-   case when blank then 'rejected' when upload_id=3 then 'rules' else 'model' end inference_mode,
+   case when blank then 'rejected' when upload_id=3 then 'fallback_llm' else 'model' end inference_mode,
    case when not blank and upload_id<>3 then p end denial_probability,
    case when not blank and upload_id<>3 then (p>=0.5)::int end predicted_denial_flag,
    case when not blank and upload_id<>3 then 0.5::double end threshold_used,
@@ -158,8 +165,7 @@ ro as (select k row_index, upload_id, claim_id, case when blank then 'rejected'
 _ERR = """, e as (select upload_id, k, unnest(list_filter([case when trim(claim_id)='' then 'row ' || k || ': missing claim_id' end,
   case when trim(drg_code)='' then 'row ' || k || ': missing drg_code' end,
   case when trim(dx_code)='' then 'row ' || k || ': missing primary_diagnosis_code' end], lambda x: x is not null)) error from r),
-n as (select upload_id, error, row_number() over (partition by upload_id order by error) nth from (select distinct upload_id, error from e)),
-l as (select upload_id, string_agg(error, ';' order by error) row_errors from n where nth<=100 group by 1),
+l as (select upload_id, string_agg(error, ';' order by error) row_errors from (select distinct upload_id, error from e) group by 1),
 c as (select upload_id, count(*) error_count, count(distinct k) invalid_row_count from e group by 1)
 """
 ORACLE = {
@@ -174,6 +180,9 @@ ORACLE = {
     + """select upload_id, count(*) rows_total, any_value(error_count) error_count, any_value(invalid_row_count) invalid_row_count,
   greatest(count(*)-any_value(error_count),0) valid_rows, any_value(row_errors) row_errors, '' blocking_errors, true is_valid
   from r join c using (upload_id) join l using (upload_id) group by 1""",
+    "upload_row_errors": _BASE + _ERR + "select upload_id, k row_index, error from e",
+    "upload_refused": "select o_orderkey%8 upload_id, count(*) rows_total, 0 rows_scored, 0 rows_fallback, count(*) rows_rejected"
+    " from orders group by 1",
     "risk_signals": _BASE + "select k row_index, array_to_string(signals,'|') signals from s",
     "reason_from_probability": _BASE + "select k row_index, denial_reason, denial_code, rationale from b",
     "preemptive_note": _BASE

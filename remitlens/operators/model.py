@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,8 +87,11 @@ def class_balance(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """Published settings of the reference model; early stopping watches the
-    validation loss and ``min_rows`` counts rows."""
+    """Published settings of the reference model; ``min_rows`` counts rows.
+
+    ``patience``: boosting stops after so many trees without a better average
+    precision on the validation rows, and the best number of trees is kept.
+    """
 
     trees: int = 400
     depth: int = 5
@@ -93,14 +100,90 @@ class TreeSettings:
     column_share: str = "0.8"
     min_rows: int = 7
     seed: int = 42
+    patience: int = 40
+
+
+#: Trees of the first fit; each further one has twice as many.
+FIRST_TREES = 64
+#: Probability classes in which average precisions of unfinished ensembles are compared.
+SCORE_CLASSES = 1024
+
+
+def leaf_values(model) -> list[list[float]]:
+    """Per tree its weighted leaf predictions, in the order of the leaf numbers."""
+    trees = re.split(r"\n\s*Tree \d+ \(weight ", model.toDebugString)[1:]
+    return [
+        [float(tree.split(")")[0]) * float(v) for v in re.findall(r"Predict: (\S+)", tree)] for tree in trees
+    ]
+
+
+def prefix_precisions(assembled: DataFrame, model) -> list[float]:
+    """Average precision on ``assembled`` (features, ``is_denied``) after 1, 2, ... trees.
+
+    A row's margins after each tree are the running sums of its leaves' values, counted
+    by tree and probability class where the rows lie; only one number per tree
+    reaches the driver.
+    """
+    values = leaf_values(model)
+    n, width = len(values), max(map(len, values))
+    padded = np.array([v + [0.0] * (width - len(v)) for v in values])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, n, SCORE_CLASSES), np.int64)
+        tree = np.arange(n)
+        for batch in batches:
+            leaves = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, n)
+            labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for start in range(0, len(leaves), 1024):
+                part = leaves[start : start + 1024]
+                margin = np.cumsum(padded[tree, part], axis=1)
+                score = (SCORE_CLASSES / (1 + np.exp(-2 * margin))).astype(np.int64).clip(0, SCORE_CLASSES - 1)
+                np.add.at(seen, (labels[start : start + 1024, None], tree[None, :], score), 1)
+        at = np.nonzero(seen.sum(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[0]), pa.array(at[1]), pa.array(seen[1][at]), pa.array(seen[0][at])],
+            names=["tree", "class", "pos", "neg"],
+        )
+
+    leaved = model.copy().setLeafCol("leaves").transform(assembled)
+    counts = (
+        leaved.select(vector_to_array("leaves").alias("leaves"), F.col("is_denied").cast("bigint"))
+        .mapInArrow(count, "tree bigint, class bigint, pos bigint, neg bigint")
+        .groupBy("tree", "class")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    )
+    down = Window.partitionBy("tree").orderBy(F.desc("class"))
+    gain = F.try_divide(F.col("pos"), F.sum("pos").over(Window.partitionBy("tree")))
+    precision = F.sum("pos").over(down) / F.sum(F.col("pos") + F.col("neg")).over(down)
+    found = counts.select("tree", (F.coalesce(gain, F.lit(0.0)) * precision).alias("part"))
+    by_tree = dict(found.groupBy("tree").agg(F.sum("part")).collect())
+    return [by_tree.get(t, 0.0) for t in range(n)]
+
+
+def best_prefix(precisions: list[float], patience: int) -> tuple[int, bool]:
+    """(trees to keep, whether patience has run out): the first best, seen within patience."""
+    best = 0
+    for k, value in enumerate(precisions):
+        if value > precisions[best] + 1e-12:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
 def train_gbt(features: DataFrame, settings: TreeSettings = TreeSettings()) -> PipelineModel:
     """Fit on the training patients. The input is stored once, because boosting
-    reads it for every tree."""
+    reads it for every tree.
+
+    Boosting repeats itself from its seed, so the ensemble is grown by fits of twice
+    the size until patience runs out, and fitted once more with the trees to keep.
+    """
     check_leakage(features)
     names = feature_names(features)
-    train = patient_split(labelled_only(features)).where("is_train")
+    labelled = labelled_only(features)
+    if labelled.isEmpty():
+        raise ValueError("no labelled rows to train on")
+    train = patient_split(labelled).where("is_train")
     prepared = cut_lineage(
         validation_split(
             feature_matrix(train.drop("is_train"), keep=[*CLAIM_KEY, "is_denied"])
@@ -108,25 +191,41 @@ def train_gbt(features: DataFrame, settings: TreeSettings = TreeSettings()) -> P
         "train",
     )
     weight = class_balance(prepared.where(~F.col("is_val"))).select("positive_weight").scalar()
-    weighted = prepared.withColumns(
-        {
-            "label": F.col("is_denied").cast("double"),
-            "row_weight": F.when(F.col("is_denied") == 1, weight).otherwise(1.0),
-        }
-    )
-    trees = GBTClassifier(
-        maxIter=settings.trees,
-        maxDepth=settings.depth,
-        stepSize=settings.step,
-        subsamplingRate=settings.row_share,
-        featureSubsetStrategy=settings.column_share,
-        minInstancesPerNode=settings.min_rows,
-        weightCol="row_weight",
-        validationIndicatorCol="is_val",
-        seed=settings.seed,
-    )
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    return Pipeline(stages=[assembler, trees]).fit(weighted)
+    weighted = cut_lineage(
+        assembler.transform(prepared).select(
+            "features",
+            "is_denied",
+            "is_val",
+            F.col("is_denied").cast("double").alias("label"),
+            F.when(F.col("is_denied") == 1, weight).otherwise(1.0).alias("row_weight"),
+        ),
+        "weighted",
+    )
+    fitted_on, held_out = weighted.where(~F.col("is_val")), weighted.where("is_val")
+
+    def fit(trees: int):
+        return GBTClassifier(
+            maxIter=trees,
+            maxDepth=settings.depth,
+            stepSize=settings.step,
+            subsamplingRate=settings.row_share,
+            featureSubsetStrategy=settings.column_share,
+            minInstancesPerNode=settings.min_rows,
+            weightCol="row_weight",
+            seed=settings.seed,
+        ).fit(fitted_on)
+
+    asked = min(FIRST_TREES, settings.trees)
+    while True:
+        model = fit(asked)
+        keep, done = best_prefix(prefix_precisions(held_out, model), settings.patience)
+        if done or asked == settings.trees:
+            break
+        asked = min(2 * asked, settings.trees)
+    if keep < asked:
+        model = fit(keep)
+    return PipelineModel(stages=[assembler, model])
 
 
 def model_inputs(model: PipelineModel) -> list[str]:

@@ -12,7 +12,7 @@ from remitlens.operators import model as ml
 from remitlens.schema import FEATURES, HEADER_DX, LINE_DX, PROCEDURES, UPLOAD_REQUIRED
 
 EMPTY_WORDS = ("nan", "None")
-ERROR_LIMIT = 100
+BLOCKING = "Missing required CSV columns: "
 MAX_SIGNALS = 3
 
 # Risk signals, notes and rejection wording (fixed values).
@@ -54,9 +54,15 @@ def row_errors(df: DataFrame) -> Column:
     )
 
 
-def schema_check(df: DataFrame) -> DataFrame:
-    """One row per upload. ``error_count`` counts errors, ``invalid_row_count``
-    rows; the first hundred distinct error texts are listed."""
+def row_error_rows(df: DataFrame) -> DataFrame:
+    """(upload_id, row_index, error): every blank required cell."""
+    return df.select("upload_id", "row_index", F.explode(row_errors(df)).alias("error"))
+
+
+def schema_check(df: DataFrame, listed: int | None = None) -> DataFrame:
+    """One row per upload. ``error_count`` counts errors, ``invalid_row_count`` rows;
+    ``row_errors`` lists the distinct error texts, only the first ``listed`` if given
+    (``row_error_rows`` has all of them as a table)."""
     missing = missing_columns(df)
     checked = df.select("upload_id", row_errors(df).alias("errors"))
     counts = checked.groupBy("upload_id").agg(
@@ -65,15 +71,12 @@ def schema_check(df: DataFrame) -> DataFrame:
         F.count_if(F.size("errors") > 0).alias("invalid_row_count"),
     )
     distinct = checked.select("upload_id", F.explode("errors").alias("error")).distinct()
-    first = Window.partitionBy("upload_id").orderBy("error")
-    listed = (
-        distinct.withColumn("nth", F.row_number().over(first))
-        .where(F.col("nth") <= ERROR_LIMIT)
-        .groupBy("upload_id")
-        .agg(F.array_sort(F.collect_list("error")).alias("row_errors"))
-    )
-    blocking = "Missing required CSV columns: " + ", ".join(missing) if missing else ""
-    return counts.join(listed, "upload_id", "left").select(
+    if listed is not None:
+        first = Window.partitionBy("upload_id").orderBy("error")
+        distinct = distinct.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= listed)
+    texts = distinct.groupBy("upload_id").agg(F.array_sort(F.collect_list("error")).alias("row_errors"))
+    blocking = BLOCKING + ", ".join(missing) if missing else ""
+    return counts.join(texts, "upload_id", "left").select(
         "upload_id",
         "rows_total",
         "error_count",
@@ -145,8 +148,8 @@ def adapt_upload(df: DataFrame) -> DataFrame:
     return df.withColumns(added) if added else df
 
 
-def risk_signals() -> Column:
-    """The first three signals that apply, in fixed order."""
+def risk_signals(most: int | None = MAX_SIGNALS) -> Column:
+    """The first ``most`` signals that apply, in fixed order (None: all)."""
     codes, dx = F.col("hcpcs_count"), F.col("total_diag_count")
     found = F.array_compact(
         F.array(
@@ -161,7 +164,7 @@ def risk_signals() -> Column:
         )
     )
     return F.when(F.size(found) == 0, F.array(F.lit(SIGNAL_DEFAULT))).otherwise(
-        F.slice(found, 1, MAX_SIGNALS)
+        found if most is None else F.slice(found, 1, most)
     )
 
 
@@ -170,7 +173,10 @@ def preemptive_note(signals: Column) -> Column:
 
 
 def reason_from_probability(probability: Column, signals: Column) -> Column:
-    """(denial_reason, denial_code, rationale) by probability band."""
+    """(denial_reason, denial_code, rationale) by probability band.
+
+    The rationale formats are fixed values.
+    """
     listed = F.array_join(signals, ", ")
 
     def band(rule: lt.LetterRule, text: str, with_signals: bool) -> Column:
@@ -181,7 +187,8 @@ def reason_from_probability(probability: Column, signals: Column) -> Column:
             F.format_string(text, *args).alias("rationale"),
         )
 
-    _, auth, necessity, coverage = lt.LETTER_RULES
+    by_code = {rule.code: rule for rule in lt.LETTER_RULES}
+    auth, necessity, coverage = (by_code[c] for c in ("D-AUTH-002", "D-MN-003", "D-COVERAGE-004"))
     return (
         F.when(probability >= 0.8, band(necessity, "High denial risk (%.3f) driven by %s.", True))
         .when(
@@ -227,8 +234,9 @@ def route(rows: DataFrame, threshold: Column) -> DataFrame:
     probability are classified by their text, the others scored."""
     empty = F.trim("row_text") == ""
     scored = F.col("probability").isNotNull()
-    by_score = reason_from_probability(F.col("probability"), F.col("signals"))
-    by_text = lt.classify(F.col("row_text"))
+    # each row evaluates only the branch it takes
+    by_score = F.when(~empty & scored, reason_from_probability(F.col("probability"), F.col("signals")))
+    by_text = F.when(~empty & ~scored, lt.classify(F.col("row_text")))
     staged = rows.withColumns({"s": by_score, "t": by_text})
 
     def pick(name: str) -> Column:
@@ -240,7 +248,7 @@ def route(rows: DataFrame, threshold: Column) -> DataFrame:
     return staged.withColumns(
         {
             "status": F.when(empty, "rejected").when(scored, "scored").otherwise("fallback"),
-            "inference_mode": F.when(empty, "rejected").when(scored, "model").otherwise("rules"),
+            "inference_mode": F.when(empty, "rejected").when(scored, "model").otherwise("fallback_llm"),
             "denial_probability": F.when(only_scored, F.col("probability")),
             "predicted_denial_flag": F.when(
                 only_scored, (F.col("probability") >= threshold).cast("int")
@@ -258,16 +266,25 @@ def route(rows: DataFrame, threshold: Column) -> DataFrame:
 def score_upload(
     df: DataFrame, model: PipelineModel | None, metrics: DataFrame | None = None
 ) -> DataFrame:
-    """Score every row of a table of uploads in one plan. Uploads without the
-    required columns give no results; ``schema_check`` says why."""
-    if missing_columns(df):
-        df = df.where(F.lit(False))
+    """Score every row of a table of uploads in one plan.
+
+    Uploads without the required columns are refused: every row is ``rejected`` with
+    the reason in ``error``.
+    """
+    missing = missing_columns(df)
+    texted = with_claim_id(df).withColumn("row_text", row_text(df, skip=["upload_id", "row_index"]))
     ids = ["upload_id", "row_index", "claim_id"]
-    texted = df.withColumn("row_text", row_text(df, skip=["upload_id", "row_index"]))
     features = serving_features(texted, keep=[*ids, "row_text"]).withColumn(
         "signals", risk_signals()
     )
     keep = [*ids, "row_text", "signals"]
+    if missing:
+        # an empty text is what ``route`` rejects
+        ready = features.select(
+            *ids, F.lit("").alias("row_text"), "signals", F.lit(None).cast("double").alias("probability")
+        )
+        refused = route(ready, stored_threshold(metrics))
+        return refused.withColumn("error", F.lit(BLOCKING + ", ".join(missing)))
     if model is None:
         ready = features.select(*keep, F.lit(None).cast("double").alias("probability"))
     else:
@@ -275,6 +292,15 @@ def score_upload(
     return route(ready, stored_threshold(metrics))
 
 
+def with_claim_id(df: DataFrame) -> DataFrame:
+    """``claim_id`` from ``CLM_ID`` where the upload has it, else its own, else the row's number."""
+    if "CLM_ID" in df.columns:
+        return df.withColumn("claim_id", F.col("CLM_ID").cast("string"))
+    if "claim_id" in df.columns:
+        return df
+    return df.withColumn("claim_id", F.concat(F.lit("row-"), F.col("row_index").cast("string")))
+
+
 def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("upload_id").agg(
         F.count("*").alias("rows_total"),
