@@ -130,30 +130,59 @@ def _columns(spark, d):
     )
 
 
-_MODELS: dict[tuple[str, str], object] = {}
-SMALL_TREES = ml.TreeSettings(trees=5, depth=3)
+_MODELS: dict[tuple[str, str, str], object] = {}
 
 
-def model(spark, d):
-    key = (spark.sparkContext.applicationId, d)
+def _fitted(spark, d, name, fit):
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _MODELS:
-        _MODELS[key] = ml.train_gbt(stored_features(spark, d), SMALL_TREES)
+        _MODELS[key] = fit()
     return _MODELS[key]
 
 
+def model(spark, d):
+    """Boosted trees at the published settings."""
+    return _fitted(spark, d, "trees", lambda: ml.train_gbt(stored_features(spark, d)))
+
+
+#: One tree on a label that one feature decides: its leaves are -1 and 1, so the
+#: probability is 1 / (1 + exp(2)) or 1 / (1 + exp(-2)).
+ONE_TREE = ml.TreeSettings(trees=1, depth=1, row_share=1.0, column_share="all", min_rows=1)
+
+
+def rule_model(spark, d):
+    ruled = stored_features(spark, d).withColumn("is_denied", (F.col("hcpcs_count") >= 2).cast("int"))
+    return _fitted(spark, d, "rule", lambda: ml.train_gbt(ruled, ONE_TREE))
+
+
 def _train(spark, d):
-    """Quality of a short boosting run on the held-out patients."""
+    """Quality of the boosted trees on the held-out patients against what any use needs."""
     fitted = model(spark, d)
     test = ml.patient_split(_labelled(spark, d)).where(~F.col("is_train"))
     scored = ml.score(fitted, test, ["is_denied"]).select(
         F.col("is_denied").alias("label"), F.col(ml.PROBABILITY).alias("score")
     )
-    sizes = scored.agg(F.count("*").alias("rows_test"))
-    return ev.metrics_row(scored, sizes)
+    counts = ev.score_counts(scored)
+    quality = ev.metrics_row(counts, ev.row_sizes(counts))
+    return quality.select(
+        F.col("rows_total").alias("rows_test"),
+        F.round("positive_rate", 6).alias("positive_rate"),
+        (F.col("pr_auc") > 1.25 * F.col("positive_rate")).alias("well_above_chance"),
+        F.lit(fitted.stages[-1].getNumTrees >= 10).alias("many_trees"),
+    )
 
 
 def _score(spark, d):
-    return ml.score(model(spark, d), stored_features(spark, d), [*CLAIM_KEY, "is_denied"])
+    """All rows scored by the trees and by the one-tree model, whose answer is known."""
+    keep = [*CLAIM_KEY, "is_denied"]
+    ruled = ml.score(rule_model(spark, d), stored_features(spark, d), [*keep, *FEATURES])
+    ruled = ruled.withColumnRenamed(ml.PROBABILITY, "rule_probability")
+    scored = ml.score(model(spark, d), ruled, [*keep, "rule_probability"])
+    return scored.select(
+        *keep,
+        F.round("rule_probability", 6).alias("rule_probability"),
+        F.col(ml.PROBABILITY).between(0.0, 1.0).alias("is_probability"),
+    )
 
 
 def _report(spark, d):
@@ -321,3 +350,14 @@ union all {lines(6, "ov", notes)}"""
 
 
 ORACLE["report_markdown"] = _report_sql()
+ORACLE["train_gbt"] = (
+    cl.BASE
+    + _LABELLED
+    + f" select count(*) rows_test, round(avg(is_denied), 6) positive_rate, true well_above_chance, true many_trees"
+    f" from lab where {_BUCKET} >= 80"
+)
+ORACLE["score_batch"] = (
+    cl.BASE
+    + f" select {cl.KEY}, is_denied, round(1 / (1 + exp(case when hcpcs_count >= 2 then -2 else 2 end)), 6) rule_probability,"
+    " true is_probability from feats"
+)

@@ -93,7 +93,9 @@ def _row_context(spark, d):
 
 
 def _scored(spark, d):
-    return up.score_upload(rows(spark, d), md.model(spark, d)).drop("preemptive_note")
+    """Scored by the one-tree model, whose probabilities are known."""
+    scored = up.score_upload(rows(spark, d), md.rule_model(spark, d)).drop("preemptive_note")
+    return scored.withColumn("denial_probability", F.round("denial_probability", 6))
 
 
 def _refused(spark, d):
@@ -208,3 +210,14 @@ ORACLE = {
  from t x join t y on x.upload_id=y.upload_id and x.a=1 and y.f=1""",
     "claim_row_context": _BASE + "select row_index, claim_context context from ro",
 }
+
+# every upload has a model here, which gives one of two probabilities
+_RULED = (
+    _BASE.replace("(k%101)/100.0::double p", "1 / (1 + exp(case when codes>=2 then -2 else 2 end)) p")
+    .replace("upload_id=3", "false")
+    .replace("upload_id<>3", "true")
+)
+ORACLE["score_upload"] = _RULED + (
+    "select row_index, upload_id, claim_id, status, inference_mode, round(denial_probability, 6) denial_probability,"
+    " predicted_denial_flag, threshold_used, denial_reason, denial_code, rationale, error from ro"
+)
