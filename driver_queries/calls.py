@@ -12,6 +12,7 @@ from driver_queries import text as tx
 from remitlens.operators import calls as ca
 from remitlens.operators import model as ml
 from remitlens.operators import requests as rq
+from remitlens.operators import retrieval as rt
 from remitlens.operators import rules as rl
 from remitlens.operators.calls import CallFlow, Step
 from remitlens.schema import CLAIM_KEY
@@ -129,12 +130,12 @@ def _query(spark, d):
 
 
 def _prompts(spark, d):
-    """Prompts of every turn; the best excerpt of a benchmark text stands for the
-    excerpts retrieved for the call."""
-    excerpts = (
-        tx.stored_hits(spark, d).where("rank = 1")
-        .select(F.col("item_id").alias("call_id"), F.substring("body", 1, 200).alias("policy_excerpts"))
-    )
+    """Prompts of every turn, with the two best excerpts of a benchmark text as those
+    retrieved for the call. The hash leaves the scores out, which engines print
+    in different ways."""
+    found = rt.format_hits(tx.stored_hits(spark, d).where("rank <= 2"))
+    asked = ad.table(spark, d, "benchmark").select("item_id")
+    excerpts = rt.prompt_blocks(asked, found, "item_id").withColumnRenamed("item_id", "call_id")
     context = F.create_map(
         F.lit("claim_id"), F.col("call_id").cast("string"),
         F.lit("denial_source"), F.lit("hidden"), F.lit("caveat_notes"), F.lit("hidden"),
@@ -143,7 +144,8 @@ def _prompts(spark, d):
         log(spark, d).join(ca.prior_context(log(spark, d), n=3), ["call_id", "turn"])
         .join(excerpts, "call_id", "left").withColumn("context", context)
     )
-    return ca.prompt_rows(ready, FLOW_A).select("call_id", "turn", F.sha1("prompt").alias("prompt_sha1"))
+    plain = F.regexp_replace("prompt", r"score=[0-9.E-]+", "score=")
+    return ca.prompt_rows(ready, FLOW_A).select("call_id", "turn", F.sha1(plain).alias("prompt_sha1"))
 
 
 def requests(spark, d):
@@ -309,7 +311,9 @@ ORACLE = {
     "prompt_rows": tx.index_sql("benchmark").replace("with ", "with recursive ", 1)
     + ", "
     + _LOG.replace("with recursive ", "", 1)
-    + f""", ex as (select item_id call_id, substr(text,1,200) ex from hits join documents using (doc_id) where rank=1)
+    + f""", exb as (select item_id, string_agg('--- Policy Excerpt ' || rank || ' (score=) ---' || chr(10) || 'Source: ARTICLE ' || doc_id
+  || ' — ' || source || chr(10) || substr(text,1,2000) || chr(10), chr(10) order by rank) b from hits join documents using (doc_id) where rank<=2 group by 1),
+ex as (select item_id call_id, coalesce(b, '(No relevant policy documents found.)') ex from benchmark left join exb using (item_id))
  select call_id, turn, sha1('SYSTEM INSTRUCTIONS:' || chr(10) || 'CLAIM CONTEXT:' || chr(10) || '{{"claim_id":"' || call_id || '"}}' || chr(10) || chr(10)
   || 'CURRENT CALL PHASE:' || chr(10) || '[Call Phase: ' || state || '] ' || {_HINT} || chr(10) || chr(10) || 'RELEVANT MEDICARE POLICY EXCERPTS:' || chr(10)
   || coalesce(ex, '(No policy excerpts retrieved for this turn.)') || chr(10) || chr(10) || chr(10) || 'RECENT TRANSCRIPT:' || chr(10) || prior

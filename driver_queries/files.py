@@ -3,6 +3,7 @@ back by the library's own readers."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver_queries import claims as cl
@@ -72,7 +73,9 @@ def _mue(spark, d):
     )
     path = fresh_path(spark, "mue-csv")
     _write_lines(_with_preamble(rows, rf.MUE_PREAMBLE, part.select(file).distinct()), path)
-    return rf.read_mue(spark, f"{path}/*", "*.txt").drop("variant")
+    read = rf.read_mue(spark, f"{path}/*", "*.txt")
+    # files get names of Spark's own; what they hold shows that each kept its variant
+    return read.withColumn("rows_of_variant", F.count("*").over(Window.partitionBy("variant"))).drop("variant")
 
 
 def _ptp(spark, d):
@@ -88,10 +91,10 @@ def _ptp(spark, d):
     )
     path = fresh_path(spark, "ptp-tsv")
     _write_lines(_with_preamble(rows, rf.PTP_PREAMBLE, part.select(file).distinct()), path)
-    return rf.read_ptp(spark, path).drop("rationale")
+    return rf.read_ptp(spark, path)
 
 
-def _drg_history_files(spark, d):
+def _drg_history_files(spark, d, rows="true"):
     k = F.col("s_suppkey")
     line = F.concat(
         F.lpad((k % 1000).cast("string"), 3, "0"),
@@ -101,25 +104,28 @@ def _drg_history_files(spark, d):
         F.lpad((2 + k % 9).cast("string"), 3, " "), F.lpad((k % 40).cast("string"), 3, " "),
     )
     path = fresh_path(spark, "drg-text")
-    ad.table(spark, d, "supplier").where(k % 3 != 0).select(line.alias("value")).write.text(path)
+    ad.table(spark, d, "supplier").where(rows).select(line.alias("value")).write.text(path)
     return rf.read_drg_history(spark, path)
 
 
-def _drg_table5_files(spark, d):
+def _drg_table5_files(spark, d, rows="true"):
     k = F.col("s_suppkey")
     path = fresh_path(spark, "drg-table5")
-    rows = ad.table(spark, d, "supplier").where(k % 5 != 0).select(
+    table = ad.table(spark, d, "supplier").where(rows).select(
         F.lpad((k % 1000).cast("string"), 3, "0").alias(" MS-DRG"),
         F.when(k % 8 != 0, (k % 6 + 0.5).cast("string")).alias("Weights"),
         (k % 12 + 0.25).cast("string").alias("Geometric mean LOS"),
         (k % 13 + 0.75).cast("string").alias("Arithmetic mean LOS"),
     )
-    rows.coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
+    table.write.option("sep", "\t").option("header", True).csv(path)
     return rf.read_drg_table5(spark, path, "*.csv")
 
 
 def _drg_merge(spark, d):
-    return rf.merge_drg(_drg_history_files(spark, d), _drg_table5_files(spark, d))
+    """Two releases that list different codes, so either side has rows of its own."""
+    return rf.merge_drg(
+        _drg_history_files(spark, d, "s_suppkey % 3 <> 0"), _drg_table5_files(spark, d, "s_suppkey % 5 <> 0")
+    )
 
 
 def _mcd(spark, d):
@@ -397,9 +403,9 @@ _K36_NEXT = _K36.replace("from part", "from (select p_partkey from part union se
 
 _DRG = """with h as (select lpad(cast(s_suppkey%1000 as varchar),3,'0') drg_code,
   case when s_suppkey%10=0 then null else 1+s_suppkey%7 end::double weight_hist, (2+s_suppkey%9)::double alos_hist,
-  cast(s_suppkey%40 as varchar) trim_point from supplier where s_suppkey%3<>0),
+  cast(s_suppkey%40 as varchar) trim_point from supplier),
 t as (select lpad(cast(s_suppkey%1000 as varchar),3,'0') drg_code, case when s_suppkey%8<>0 then s_suppkey%6+0.5 end::double weight,
-  (s_suppkey%12+0.25)::double geometric_mean_los, cast(s_suppkey%13+0.75 as varchar) arithmetic_mean_los from supplier where s_suppkey%5<>0) """
+  (s_suppkey%12+0.25)::double geometric_mean_los, cast(s_suppkey%13+0.75 as varchar) arithmetic_mean_los from supplier) """
 
 ORACLE = {
     "scan_beneficiary_csv": "select cast(c_custkey as varchar) DESYNPUF_ID, concat(1920+c_custkey%70,'0615') BENE_BIRTH_DT, "
@@ -422,14 +428,17 @@ ORACLE = {
   p_partkey%11 in (0,1) or p_partkey%7=0 is_noncovered from part join code on k=p_partkey where p_partkey%5<>1""",
     "ref_mue_multi_csv": _K36
     + """select code hcpcs_code, case when p_partkey%9<>0 then p_partkey%30 end::double mue_value,
-  cast(1+p_partkey%3 as varchar) adjudication_indicator from part join code on k=p_partkey""",
+  cast(1+p_partkey%3 as varchar) adjudication_indicator, count(*) over (partition by p_partkey//{LINES}) rows_of_variant
+  from part join code on k=p_partkey""".replace("{LINES}", str(LINES_PER_FILE)),
     "ref_ptp_recursive_tsv": _K36_NEXT
     + """select c.code code1, n.code code2, cast(p_partkey%3 as varchar) modifier, date '2006-01-01' effective_date,
-  case when p_partkey%4 in (2,3) then date '2009-03-31' end deletion_date
+  case when p_partkey%4 in (2,3) then date '2009-03-31' end deletion_date, 'Standards' rationale
   from part join code c on c.k=p_partkey join code n on n.k=p_partkey+1 where p_partkey%6>1 and p_partkey%4<>1""",
     "ref_drg_fixed_width": _DRG + "select * from h",
     "ref_drg_table5": _DRG + "select * from t",
-    "ref_drg_merge": _DRG
+    "ref_drg_merge": _DRG.replace("trim_point from supplier)", "trim_point from supplier where s_suppkey%3<>0)").replace(
+        "arithmetic_mean_los from supplier)", "arithmetic_mean_los from supplier where s_suppkey%5<>0)"
+    )
     + """select drg_code, max(alos_hist) alos_hist, max(trim_point) trim_point, max(coalesce(weight, weight_hist)) weight,
   max(geometric_mean_los) geometric_mean_los, max(arithmetic_mean_los) arithmetic_mean_los
   from h full outer join t using (drg_code) group by drg_code""",

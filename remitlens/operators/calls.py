@@ -302,18 +302,38 @@ def turn_lines() -> Column:
     )
 
 
+def turn_places(log: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``log`` with each turn's ``place`` in its call, from 0, whatever the turn numbers.
+
+    Turns are counted per block of numbers, then the sizes of the blocks before are
+    added, so no call is sorted as a whole.
+    """
+    rough = log.withColumn("rough", F.floor(F.col("turn") / block))
+    sizes = rough.groupBy("call_id", "rough").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("call_id").orderBy("rough").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("call_id", "rough", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("call_id", "rough").orderBy("turn"))
+    return (
+        rough.withColumn("nth", within)
+        .join(offsets, ["call_id", "rough"])
+        .withColumn("place", F.col("offset") + F.col("nth") - 1)
+        .drop("rough", "nth", "offset")
+    )
+
+
 def prior_context(log: DataFrame, n: int = RECENT, block: int = BLOCK) -> DataFrame:
-    """Each turn with the lines of the ``n`` turns before it (turn numbers of a
-    call are consecutive). The window runs per block of a call; the last turns of
-    a block are lent to the next one, so no call is sorted as a whole."""
-    own = log.select(
-        "call_id", "turn", turn_lines().alias("lines"), F.expr(f"turn div {block}").alias("block"),
+    """Each turn with the lines of the ``n`` turns before it. Turn numbers may have
+    gaps. The window runs per block of places; the last turns of a block are lent
+    to the next one, so no call is sorted as a whole."""
+    block = max(block, n)
+    own = turn_places(log, block).select(
+        "call_id", "turn", "place", turn_lines().alias("lines"), F.floor(F.col("place") / block).alias("block"),
         F.lit(True).alias("own"),
     )
-    lent = own.where(F.col("turn") % block >= block - n).withColumns(
+    lent = own.where(F.col("place") % block >= block - n).withColumns(
         {"block": F.col("block") + 1, "own": F.lit(False)}
     )
-    before = Window.partitionBy("call_id", "block").orderBy("turn").rowsBetween(-n, -1)
+    before = Window.partitionBy("call_id", "block").orderBy("place").rowsBetween(-n, -1)
     return (
         own.unionByName(lent)
         .withColumn("prior", F.array_join(F.collect_list("lines").over(before), "\n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,12 +32,16 @@ def build_session(app: str = "remitlens", master: str | None = None, **extra: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a new temporary folder
-    made, and then recorded so later calls agree on it.
+    Only a local master without that setting (tests, a laptop) gets a new temporary
+    folder, recorded so later calls agree on it and removed when Python ends. On any
+    other master the setting is required, since executors do not share local folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="remitlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

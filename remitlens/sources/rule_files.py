@@ -67,27 +67,32 @@ def _body_lines(
 ) -> DataFrame:
     """(file, value) lines after each file's preamble.
 
-    A rule release is a file of a few megabytes; reading it as one row keeps
-    line numbers, which a split text scan does not. Bytes that are not UTF-8
-    are read as Latin-1. Hidden files are skipped by the file source.
+    Files are read in splits, line by line. Line ids rise within a split, so the ids
+    of a file's first split, less its smallest, count its lines from the top; one row
+    per file is joined back to leave the preamble out. Lines that are not UTF-8 are
+    read as Latin-1. Hidden files are skipped by the file source.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
+    lines = (
+        spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", recursive)
-        .load(path)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_name").alias("name"),
+            (F.col("_metadata.file_block_start") == 0).alias("top"),
+            F.monotonically_increasing_id().alias("id"),
+            "value",
+        )
     )
-    as_utf8 = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(
-        F.decode("content", "ISO-8859-1")
+    first = lines.where("top").groupBy("path").agg(F.min("id").alias("first"))
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     )
+    body = ~F.col("top") | (F.col("id") - F.col("first") >= preamble)
     return (
-        files.select(
-            F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("file"),
-            F.posexplode(F.split(text, "\r?\n")).alias("line", "value"),
-        )
-        .where((F.col("line") >= preamble) & (F.trim("value") != ""))
-        .select("file", "value")
+        lines.join(first, "path", "left")
+        .where(body & (F.trim("value") != ""))
+        .select(F.regexp_extract("name", r"^(.+)\.[^.]*$", 1).alias("file"), text.alias("value"))
     )
 
 
@@ -153,12 +158,15 @@ TABLE5_HEADERS = [
 def read_drg_table5(
     spark: SparkSession, folder: str, pattern: str = "*[Tt]able*5*.tsv"
 ) -> DataFrame | None:
-    """The first matching file; columns are found by words in their header. Where
-    two headers match the same word the first is taken."""
+    """All matching files, which must have the same header; None where there are none.
+    Columns are found by words in their header. Where two headers match the same word
+    the first is taken."""
     names = spark.read.option("pathGlobFilter", pattern).text(folder).inputFiles()
     if not names:
         return None
-    raw = spark.read.option("sep", "\t").option("header", True).csv(unquote(sorted(names)[0]))
+    # a file with another header is an error, not a row of wrong columns
+    reader = spark.read.option("sep", "\t").option("header", True).option("enforceSchema", False)
+    raw = reader.csv([unquote(n) for n in sorted(names)])
     target: dict[str, str] = {}
     for header in raw.columns:
         for word, name in TABLE5_HEADERS:
