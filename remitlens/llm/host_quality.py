@@ -25,6 +25,8 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Rules whose failures count against a host.
 RULES = ("few_words", "repeated_words", "symbols", "repeated_lines")
 MOST = 0.5
+#: The prior weighs as much as so many documents, at least and at most.
+LEAST_PRIOR, MOST_PRIOR = 10.0, 1e6
 
 
 def _repeat_words(s: Column) -> Column:
@@ -41,7 +43,8 @@ def own_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Figures of every document: words, characters, symbols, repeated lines and words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     word = "[^ ]++"
-    windows = rf"(?<![^ ])(?=({word}(?: {word}){{{SHINGLE - 1}}}))"
+    # a window starts after a blank; a negated look-behind would also match inside a surrogate pair
+    windows = rf"(?:^|(?<= ))(?=({word}(?: {word}){{{SHINGLE - 1}}}))"
     lines = r"(?dm)^[\t\x0B\f\r ]*+[^\x20\x09-\x0D][^\n]*"
     base = (
         docs.select(F.col(id_col), F.col(host_col).cast("string").alias("host"), text.alias("text"))
@@ -88,8 +91,9 @@ def host_verdicts(ruled: DataFrame, most: float = MOST) -> DataFrame:
     """Per host: documents, shrunk failure rate of each rule and ``bad``.
 
     Only four sums per rule over all hosts go to the driver. Prior of a rule, with
-    m the mean and v the weighted variance of the hosts' rates: a + b =
-    m (1 - m) / v - 1, held between 1 and 10^6 (hosts alike: the highest).
+    m the mean and v the weighted variance of the hosts' rates beyond what drawing so
+    few documents gives: a + b = m (1 - m) / v - 1, held between ``LEAST_PRIOR`` and
+    ``MOST_PRIOR`` (hosts alike: the highest).
     """
     hosts = (
         ruled.where(F.col("host").isNotNull())
@@ -98,14 +102,18 @@ def host_verdicts(ruled: DataFrame, most: float = MOST) -> DataFrame:
     )
     sums = hosts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.count("*").alias("hosts"),
         *[F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in RULES],
         *[F.coalesce(F.sum(F.col(r) * F.col(r) / F.col("n")), F.lit(0.0)).alias(f"{r}_square") for r in RULES],
     ).first()
     bad = F.lit(False)
     for r in RULES:
         mean = sums[r] / sums["n"] if sums["n"] else 0.0
-        spread = sums[f"{r}_square"] / sums["n"] - mean * mean if sums["n"] else 0.0
-        weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 1e-12 else 1e6
+        drawn = mean * (1 - mean) * sums["hosts"] / sums["n"] if sums["n"] else 0.0
+        spread = sums[f"{r}_square"] / sums["n"] - mean * mean - drawn if sums["n"] else 0.0
+        weight = MOST_PRIOR
+        if spread > 1e-12:
+            weight = min(max(mean * (1 - mean) / spread - 1, LEAST_PRIOR), MOST_PRIOR)
         rate = (F.col(r) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
         hosts = hosts.withColumn(f"{r}_rate", rate)
         bad = bad | (rate > most)
@@ -131,10 +139,9 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prior_sql(rule: str) -> str:
     return f"""
     {rule}_prior as (
-      select m, case when v > 1e-12 then least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) else 1e6 end w
-      from (select sum({rule})::double / sum(n) m,
-                   sum({rule}::double * {rule} / n) / sum(n) - (sum({rule})::double / sum(n)) * (sum({rule})::double / sum(n)) v
-            from hosts))"""
+      select m, case when v > 1e-12 then least(greatest(m * (1 - m) / v - 1, {LEAST_PRIOR}), {MOST_PRIOR}) else {MOST_PRIOR} end w
+      from (select m, s / n - m * m - m * (1 - m) * hosts / n v
+            from (select sum({rule})::double / sum(n) m, sum({rule}::double * {rule} / n) s, sum(n) n, count(*) hosts from hosts)))"""
 
 
 ORACLE = rf"""
