@@ -12,21 +12,31 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from remitlens.operators.calls import CallFlow, turn_maps
 
-OUTPUT = "call_id long, turn long, state string"
 STATE = "phase int, next_turn long, waiting string"
 
 
+def output_schema(turns: DataFrame) -> str:
+    """Columns of the stream; call ids keep their own type."""
+    return f"call_id {turns.schema['call_id'].dataType.simpleString()}, turn long, state string, late boolean"
+
+
 def call_phase_stream(
-    turns: DataFrame, flow: CallFlow, first_turn: int = 0, patience_ms: int | None = 60_000
+    turns: DataFrame,
+    flow: CallFlow,
+    first_turn: int = 0,
+    patience_ms: int | None = 60_000,
+    most_waiting: int | None = 10_000,
 ) -> DataFrame:
-    """(call_id, turn, state) as turns become decidable.
+    """(call_id, turn, state, late) as turns become decidable.
 
     Patterns are tested natively; only the replay is Python. A turn that is ahead
-    of its turn waits until the gap fills, or until ``patience_ms`` pass without
-    news of the call; then the waiting turns are taken as they are. A turn older
-    than the last decided one is dropped. Without ``patience_ms`` gaps are waited
-    for without end; a bounded run (``availableNow``) needs that, because Spark keeps
-    a query with processing-time timeouts alive to serve them.
+    of its turn waits until the gap fills, until ``patience_ms`` pass without news of
+    the call, or until ``most_waiting`` turns wait (which bounds the state); then the
+    waiting turns are taken as they are. A turn older than the last decided one can
+    no longer change a phase: it is returned with ``late`` and without a state, so
+    nothing is lost unseen. Without ``patience_ms`` no time is watched; a bounded run
+    (``availableNow``) needs that, because Spark keeps a query with processing-time
+    timeouts alive to serve them.
     """
     maps = turn_maps(turns, flow).select(
         "call_id", F.col("turn").cast("long").alias("turn"), "map"
@@ -38,25 +48,30 @@ def call_phase_stream(
     ) -> Iterator[pd.DataFrame]:
         phase, expected, waiting = state.get if state.exists else (1, first_turn, "{}")
         pending = {int(t): m for t, m in json.loads(waiting).items()}
+        out = []
         for batch in batches:
             for turn, after in zip(batch["turn"], batch["map"]):
                 if turn >= expected:
                     pending[int(turn)] = [int(p) for p in after]
-        decided = []
+                else:
+                    out.append((key[0], int(turn), None, True))
+        full = most_waiting is not None and len(pending) > most_waiting
         for turn in sorted(pending):
-            if turn != expected and not state.hasTimedOut:
+            if turn != expected and not state.hasTimedOut and not full:
                 break
             phase = pending.pop(turn)[phase - 1]
             expected = turn + 1
-            decided.append((key[0], turn, phases[phase - 1]))
+            out.append((key[0], turn, phases[phase - 1], False))
         state.update((phase, expected, json.dumps(pending)))
         if pending and patience_ms is not None:
             state.setTimeoutDuration(patience_ms)
-        yield pd.DataFrame(decided, columns=["call_id", "turn", "state"])
+        yield pd.DataFrame(out, columns=["call_id", "turn", "state", "late"])
 
     timeout = (
         GroupStateTimeout.NoTimeout
         if patience_ms is None
         else GroupStateTimeout.ProcessingTimeTimeout
     )
-    return maps.groupBy("call_id").applyInPandasWithState(replay, OUTPUT, STATE, "append", timeout)
+    return maps.groupBy("call_id").applyInPandasWithState(
+        replay, output_schema(turns), STATE, "append", timeout
+    )

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from remitlens.operators import model as ml
 from remitlens.operators import rules
 
+#: Folders that the rows of a stream's claims are dealt into.
+CLAIM_BUCKETS = 16
+
 
 def arriving(
     spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None
@@ -29,13 +33,29 @@ def stream_stage1(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Judge each micro-batch with the batch rules. A claim's segments must arrive
-    in one batch. A batch writes its own folder, so a replayed batch replaces its
-    output instead of doubling it."""
+    """Judge arriving claim rows with the batch rules.
+
+    A claim's segments may arrive in different batches: the rows seen so far are kept
+    under ``out``/facts, in buckets of claim ids, and a batch judges all rows of the
+    claims it touches. ``latest_verdicts`` reads the newest verdict of each. A batch
+    writes folders of its own, so a replayed batch replaces its output.
+    """
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("CLM_ID"), F.lit(CLAIM_BUCKETS)).cast("int"))
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        verdicts = rules.stage1(batch, hcpcs, ptp, links)
-        verdicts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = bucketed(batch)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/facts/batch={batch_id}")
+        stored = T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType()), rows.schema["bucket"]])
+        seen = spark.read.schema(stored).parquet(f"{out}/facts").where(F.col("batch") <= batch_id)
+        # the bucket is part of the join, so only buckets that the batch touches are read
+        touched = rows.select("bucket", "CLM_ID").where(F.col("CLM_ID").isNotNull()).distinct()
+        again = seen.join(touched, ["bucket", "CLM_ID"], "left_semi").select(*batch.columns)
+        again = again.unionByName(batch.where(F.col("CLM_ID").isNull()))
+        verdicts = rules.stage1(again, hcpcs, ptp, links)
+        verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
 
     return (
         facts.writeStream.foreachBatch(judge)
@@ -45,6 +65,14 @@ def stream_stage1(
     )
 
 
+def latest_verdicts(spark: SparkSession, out: str) -> DataFrame:
+    """The newest verdicts of ``stream_stage1``: of each claim those of its last batch."""
+    every = spark.read.parquet(f"{out}/verdicts")
+    last = every.where(F.col("CLM_ID").isNotNull()).groupBy("CLM_ID").agg(F.max("batch").alias("batch"))
+    newest = every.join(last, ["CLM_ID", "batch"], "left_semi")
+    return newest.unionByName(every.where(F.col("CLM_ID").isNull())).drop("batch")
+
+
 def stream_score(
     model: PipelineModel,
     features: DataFrame,

@@ -12,23 +12,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from remitlens.operators.requests import LIMIT, WINDOW_SECONDS, admit
 
-OUTPUT = "client long, request_id long, admitted boolean"
-STATE = "held array<long>"
+STATE = "held array<long>, last long"
+
+
+def output_schema(log: DataFrame) -> str:
+    """Columns of the stream; clients and requests keep the type of their ids."""
+    kinds = {c: log.schema[c].dataType.simpleString() for c in ("client", "request_id")}
+    return f"client {kinds['client']}, request_id {kinds['request_id']}, admitted boolean, late boolean"
 
 
 def admission_stream(
     log: DataFrame,
     seconds: int = WINDOW_SECONDS,
     limit: int = LIMIT,
-    lateness: str = "0 seconds",
+    idle_ms: int | None = None,
 ) -> DataFrame:
-    """Decide requests per client as they arrive. The state is at most ``limit``
-    admission times; it is dropped once the watermark has passed the window.
-    Rows of one batch are decided in order of time; later ones than the watermark
-    are dropped by Spark."""
-    timed = log.withWatermark("ts", lateness).select(
-        "client", "request_id", "ts", F.unix_micros("ts").alias("at")
-    )
+    """(client, request_id, admitted, late): requests decided per client as they arrive.
+
+    Rows of one batch are decided in order of time, then request id. A row older than
+    the last one decided in an earlier batch comes too late to be decided: it is
+    returned with ``late`` and without a verdict. The state is the last time and at
+    most ``limit`` admission times; with ``idle_ms`` it is dropped once a client has
+    been silent for so long (choose it longer than the window and the usual delay).
+    """
+    timed = log.select("client", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
     def decide(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -36,15 +43,19 @@ def admission_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        held = deque(state.get[0] if state.exists else [])
+        held, last = state.get if state.exists else ([], None)
+        held = deque(held)
         rows = pd.concat(list(batches)).sort_values(["at", "request_id"])
-        times = [int(t) for t in rows["at"]]
-        verdicts = admit(times, seconds, limit, held)
-        state.update((list(held),))
-        leaves = (held[-1] if held else times[-1]) // 1000 + seconds * 1000 + 1
-        state.setTimeoutTimestamp(max(leaves, state.getCurrentWatermarkMs() + 1))
-        yield rows[["client", "request_id"]].assign(admitted=verdicts)
-
-    return timed.groupBy("client").applyInPandasWithState(
-        decide, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+        late = rows["at"] < last if last is not None else pd.Series(False, index=rows.index)
+        old, new = rows[late], rows[~late]
+        if len(new):
+            verdicts = admit([int(t) for t in new["at"]], seconds, limit, held)
+            state.update((list(held), int(new["at"].iloc[-1])))
+            yield new[["client", "request_id"]].assign(admitted=verdicts, late=False)
+        if len(old):
+            yield old[["client", "request_id"]].assign(admitted=None, late=True)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return timed.groupBy("client").applyInPandasWithState(decide, output_schema(log), STATE, "append", timeout)
