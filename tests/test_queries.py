@@ -1,12 +1,17 @@
 """Every registered query next to its SQL, and the shape of the plans."""
 
+from importlib import import_module
+
 import pytest
 
 import __spark_entry__ as entry
 import oracle_compare as oc
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# the training-data operators have tests of their own
+MODULES = [import_module(f"driver_queries.{name}") for name in entry._SUBJECTS]
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
 
 # Operators whose work needs Python: entity decoding, chunking, admission.
 PYTHON_ALLOWED = {
@@ -49,7 +54,8 @@ def test_has_rows(spark, name):
 
 
 def test_sql_and_queries_have_no_strays():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
