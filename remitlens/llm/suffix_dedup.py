@@ -42,7 +42,7 @@ from .common import table
 
 LENGTH = 100
 K = 50
-GROUP_BYTES = 12 << 20
+GROUP_BYTES, BUCKET_BYTES = 16 << 20, 10 << 20
 HOT = 64
 END, WINDOW = b"\xff", b"\xfe"  # no bytes of UTF-8: the end of a suffix, the start of a whole window
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -74,10 +74,11 @@ def _slide(values: np.ndarray, width: int, least) -> np.ndarray:
     return least(now[: len(now) - rest], now[rest:]) if rest else now
 
 
-def _smallest(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the strings that are the smallest of some window of ``data``."""
+def _smallest(data: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Places and hashes of the strings that are the smallest of some window of ``data``,
+    and the first and last start of the windows each stands for."""
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     hashes = _gram_hashes(np.frombuffer(data, np.uint8), k)
     width = length - k + 1
     least = _slide(hashes, width, np.minimum)
@@ -85,7 +86,15 @@ def _smallest(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray]
     edge = np.zeros(width - 1, np.uint64)
     around = _slide(np.concatenate([edge, least, edge]), width, np.maximum)
     at = np.flatnonzero(around == hashes)
-    return at, hashes[at]
+    # the windows of an anchor are the run of its hash among the minima, at or before its place
+    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.concatenate([starts[1:], [len(least)]]) - 1
+    run = np.searchsorted(starts, at, side="right") - 1
+    wrong = np.flatnonzero(least[starts[run]] != hashes[at])
+    while len(wrong):
+        run[wrong] -= 1
+        wrong = wrong[least[starts[run[wrong]]] != hashes[at[wrong]]]
+    return at, hashes[at], np.maximum(starts[run], at - width + 1), np.minimum(ends[run], at)
 
 
 def _in_order(docs: pa.Table) -> list[tuple[int | None, bytes, int]]:
@@ -95,13 +104,13 @@ def _in_order(docs: pa.Table) -> list[tuple[int | None, bytes, int]]:
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
-def _group_anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, place and hash of every anchor.
+def _group_anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Document number, place, hash, first and last window of every anchor.
 
-    Short texts are hashed together; a window over a seam can only add anchors, and
-    strings that reach over one are dropped.
+    Short texts are hashed together; windows over a seam are cut off, and anchors that
+    stand for no window inside their document are dropped.
     """
-    numbers, places, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    parts = []
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -110,15 +119,16 @@ def _group_anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray,
             stop += 1
         sizes = np.array([len(t) for t in texts[start:stop]], np.int64)
         ends = np.cumsum(sizes)
-        at, hashes = _smallest(b"".join(texts[start:stop]), length, k)
+        at, hashes, first, last = _smallest(b"".join(texts[start:stop]), length, k)
         number = np.searchsorted(ends, at, side="right")
-        inside = (at + k <= ends[number]) & (sizes[number] >= length)
-        at, number = at[inside], number[inside]
-        numbers.append(number + start)
-        places.append(at - (ends - sizes)[number])
-        found.append(hashes[inside])
+        base = (ends - sizes)[number]
+        first, last = np.maximum(first - base, 0), np.minimum(last - base, sizes[number] - length)
+        inside = first <= last
+        parts.append([x[inside] for x in (number + start, at - base, hashes, first, last)])
         start = stop
-    return np.concatenate(numbers), np.concatenate(places), np.concatenate(found)
+    if not parts:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -193,20 +203,37 @@ def merged(runs: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[bytes, int,
     best = winners[1] if width > 1 else 0
     while head[best] is not None:
         r = best
-        yield head[r], lcp[r], r, place[r]
+        x = head[r]
+        yield x, lcp[r], r, place[r]
         shared, sizes, rest = runs[r]
-        place[r] += 1
-        i = place[r]
+        i = place[r] = place[r] + 1
         if i < len(shared):
-            keep, size = shared[i], sizes[i]
             # the run's next entry shares with the winner what it shares with its predecessor
-            head[r], lcp[r] = head[r][:keep] + rest[at[r] : at[r] + size], keep
+            known, size = shared[i], sizes[i]
+            x = head[r] = x[:known] + rest[at[r] : at[r] + size]
             at[r] += size
         else:
+            x, known = None, -1
             head[r] = None
+        lcp[r] = known
+        # replay the games on the way up: ``best`` is the winner so far, x its head, known its lcp
         node = (width + r) >> 1
         while node:
-            best, losers[node] = game(best, losers[node])
+            other = losers[node]
+            theirs = lcp[other]
+            if theirs > known:
+                if head[other] is not None:
+                    losers[node], best = best, other
+                    x, known = head[other], theirs
+            elif theirs == known and head[other] is not None:
+                y = head[other]
+                k = common_prefix(x, y, known)
+                if x[k:] < y[k:] or (len(x) == len(y) == k and best < other):
+                    lcp[other] = k
+                else:
+                    lcp[best] = k
+                    losers[node], best = best, other
+                    x, known = y, theirs
             node >>= 1
 
 
@@ -232,7 +259,7 @@ def _spans(entries: list[tuple[tuple, bytes, bytes]], length: int, k: int) -> li
     seen: list[set[bytes]] = [set() for _ in range(length - k + 1)]
     for c, (_, right, left) in enumerate(entries):
         most_left = most_right = -1
-        for o in range(max(0, length - len(right)), min(length - k, len(left)) + 1):
+        for o in range(max(0, length - len(right)), len(left) + 1):
             window = left[:o] + END + right[: length - o]
             if window in seen[o]:
                 most_left, most_right = max(most_left, o), max(most_right, length - o)
@@ -251,6 +278,7 @@ def cut_documents(
     length: int = LENGTH,
     k: int = K,
     group_bytes: int = GROUP_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
     hot: int = HOT,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -269,7 +297,8 @@ def cut_documents(
     )
     carried_type = rows.schema["carried"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = buckets = int(max(1, -(-total // group_bytes)))
+    groups = int(max(1, -(-total // group_bytes)))
+    buckets = int(max(1, -(-total // bucket_bytes)))
     # one exchange of the texts, which all three passes over them share
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(
         groups, "g"
@@ -284,7 +313,7 @@ def cut_documents(
 
     def announce(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         """The distinct anchor hashes of a group, and whether each stands at several places."""
-        _, _, hashes = _group_anchors([r[1] for r in _in_order(docs)], length, k)
+        hashes = _group_anchors([r[1] for r in _in_order(docs)], length, k)[2]
         found, n = np.unique(hashes, return_counts=True)
         order, names, starts = by_bucket(found)
         return pa.table(
@@ -317,7 +346,7 @@ def cut_documents(
         if not docs.num_rows or not told.num_rows:
             return run_schema.empty_table()
         rows = _in_order(docs)
-        number, place, hashes = _group_anchors([r[1] for r in rows], length, k)
+        number, place, hashes, first, last = _group_anchors([r[1] for r in rows], length, k)
         found = np.unique(hashes)
         order, _, _ = by_bucket(found)
         states = sorted(zip(told["bucket"].to_pylist(), told["state"].to_pylist()))
@@ -325,16 +354,18 @@ def cut_documents(
         state[order] = np.frombuffer(b"".join(x for _, x in states), np.uint8)
         state = state[np.searchsorted(found, hashes)]
         entries: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        near = length - k
         shared = np.flatnonzero(state == 1)
         where = _bucket_of(hashes[shared], buckets).tolist()
-        for d, x, b in zip(number[shared].tolist(), place[shared].tolist(), where):
+        places = (number[shared].tolist(), place[shared].tolist(), first[shared].tolist(), last[shared].tolist())
+        for d, x, a, z, b in zip(*places, where):
             text = rows[d][1]
-            entry = text[x : x + length] + END + text[max(0, x - near) : x][::-1]
+            # what the anchor's windows hold: from the anchor on, then backwards from it
+            entry = text[x : z + length] + END + text[a:x][::-1]
             entries.setdefault(b, {}).setdefault(entry, []).append((d, x))
-        for d, x in zip(number[state == 2].tolist(), place[state == 2].tolist()):
+        many = np.flatnonzero(state == 2)
+        for d, a, z in zip(number[many].tolist(), first[many].tolist(), last[many].tolist()):
             text = rows[d][1]
-            for start in range(max(0, x - near), min(x, len(text) - length) + 1):
+            for start in range(a, z + 1):
                 window = text[start : start + length]
                 b = window_hash(window) % buckets
                 entries.setdefault(b, {}).setdefault(WINDOW + window, []).append((d, start))
@@ -347,7 +378,8 @@ def cut_documents(
             shared_, sizes, rest = front_coded(run)
             out.append(
                 {
-                    "bucket": b, "g": key[0].as_py(), "shared": shared_, "sizes": sizes, "rest": rest,
+                    "bucket": b, "g": key[0].as_py(), "shared": shared_, "sizes": sizes,
+                    "rest": pa.compress(rest, "zstd", asbytes=True),
                     "counts": np.array([len(ps) for ps in at], np.uint32).tobytes(),
                     # a null id comes first
                     "ids": np.array([-(1 << 63) if i is None else i for i in ids], np.int64).tobytes(),
@@ -390,7 +422,8 @@ def cut_documents(
 
         same: list[list[tuple[int, int]]] = []
         texts: list[bytes] = []
-        for entry, shared, r, i in merged(list(zip(sent["shared"], sent["sizes"], sent["rest"]))):
+        rests = [pa.decompress(x, sum(n), "zstd", asbytes=True) for x, n in zip(sent["rest"], sent["sizes"])]
+        for entry, shared, r, i in merged(list(zip(sent["shared"], sent["sizes"], rests))):
             if texts and shared == len(entry) == len(texts[-1]):
                 same[-1].append((r, i))
                 continue
