@@ -127,7 +127,11 @@ def test_upload_scan_and_check(spark, tmp_path):
     assert (check.error_count, check.invalid_row_count, check.valid_rows) == (4, 2, 0)
     broken = up.schema_check(table.drop("rarc_code")).first()
     assert not broken.is_valid and broken.blocking_errors.endswith("rarc_code")
-    assert up.score_upload(table.drop("rarc_code"), None).count() == 0
+    refused = up.score_upload(table.drop("rarc_code", "claim_id"), None)
+    assert {(r.status, r.claim_id.split("-")[0]) for r in refused.collect()} == {("rejected", "row")}
+    assert up.status_counts(refused).first().asDict() == {
+        "upload_id": 1, "rows_total": 3, "rows_scored": 0, "rows_fallback": 0, "rows_rejected": 3
+    }
     results = up.score_upload(table, None).orderBy("row_index").collect()
     assert [r.status for r in results] == ["fallback"] * 3 and results[0].denial_probability is None
 
