@@ -17,7 +17,7 @@ from remitlens.operators import rules as rl
 from remitlens.operators.calls import CallFlow, Step
 from remitlens.schema import CLAIM_KEY
 from remitlens.session import fresh_path
-from remitlens.sources import adapter as ad
+from driver_queries import adapter as ad
 from remitlens.streaming import calls as sca
 from remitlens.streaming import claims as scl
 from remitlens.streaming import requests as srq

@@ -12,7 +12,7 @@ from remitlens.operators import labels as lb
 from remitlens.operators import reports as rp
 from remitlens.operators import rules as rl
 from remitlens.schema import CLAIM_KEY, FEATURES, HEADER_DX, LINE_DX, LINE_STATUS, PROCEDURES
-from remitlens.sources import adapter as ad
+from driver_queries import adapter as ad
 from remitlens.sources.claims import select_claims
 
 

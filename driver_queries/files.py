@@ -16,7 +16,7 @@ from remitlens.operators import reports as rp
 from remitlens.operators.keys import null_safe
 from remitlens.session import fresh_path
 from remitlens.sinks import tables as tb
-from remitlens.sources import adapter as ad
+from driver_queries import adapter as ad
 from remitlens.sources import claims as sc
 from remitlens.sources import documents as dc
 from remitlens.sources import rule_files as rf
@@ -152,7 +152,7 @@ def _beneficiary_csv(spark, d):
 def _policy_csv(spark, d):
     """HTML with quotes and line breaks through a Latin-1 CSV."""
     path = fresh_path(spark, "policy-csv")
-    co.ncd_from_pages(ad.table(spark, d, "pages")).write.option("header", True).option(
+    ad.ncd_from_pages(ad.table(spark, d, "pages")).write.option("header", True).option(
         "encoding", "ISO-8859-1"
     ).option("quoteAll", True).option("escape", '"').csv(path)
     return dc.scan_policy_csv(spark, path).select(
@@ -365,8 +365,8 @@ def _model_file(spark, d):
 def _union_files(spark, d):
     """Both policy exports under one layout."""
     return co.union_sources(
-        co.ncd_from_pages(ad.table(spark, d, "pages")),
-        co.articles_from_documents(ad.table(spark, d, "documents")),
+        ad.ncd_from_pages(ad.table(spark, d, "pages")),
+        ad.articles_from_documents(ad.table(spark, d, "documents")),
     ).select("source", "source_id", "version")
 
 

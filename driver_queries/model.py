@@ -10,7 +10,7 @@ from remitlens.operators import evaluate as ev
 from remitlens.operators import model as ml
 from remitlens.operators import reports as rp
 from remitlens.schema import AUDIT_COLUMNS, CLAIM_KEY, FEATURES
-from remitlens.sources import adapter as ad
+from driver_queries import adapter as ad
 
 
 def stored_features(spark, d):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from remitlens.operators.rules import fold_claims
 from remitlens.session import fresh_path
-from remitlens.sources import adapter as ad
+from driver_queries import adapter as ad
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
 

@@ -45,10 +45,6 @@ def procedure_weights() -> list[tuple[str, float]]:
     return [(code, weight) for codes, weight in groups for code in codes]
 
 
-def col(name: str, alias: str | None = None) -> Column:
-    return F.col(f"{alias}.{name}" if alias else name)
-
-
 def present(value: Column) -> Column:
     """Trimmed text, with blanks turned into NULL."""
     return F.nullif(F.trim(value.cast("string")), F.lit(""))

@@ -198,35 +198,3 @@ def emit_counts(chunks: DataFrame) -> DataFrame:
         F.count_if(F.col("chunk_number") == 1).alias("documents"),
         F.count("*").alias("chunks"),
     )
-
-
-def ncd_from_pages(pages: DataFrame) -> DataFrame:
-    """Web pages in the layout of the coverage export."""
-    key = F.col("page_id")
-    return pages.select(
-        key.cast("string").alias("NCD_id"),
-        (key % 3).cast("string").alias("NCD_vrsn_num"),
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("NCD_mnl_sect_title"),
-        F.col("url").alias("ncd_keyword"),
-        F.col("html").alias("itm_srvc_desc"),
-        F.when(key % 4 == 0, F.concat(F.lit("<p>See &sect; "), F.col("url"), F.lit("</p>")))
-        .otherwise("")
-        .alias("indctn_lmtn"),
-        F.lit(None).cast("string").alias("xref_txt"),
-        F.lit("<br/>").alias("othr_txt"),
-        F.lit("").alias("rev_hstry"),
-    )
-
-
-def articles_from_documents(documents: DataFrame) -> DataFrame:
-    """Documents in the layout of the article export."""
-    key = F.col("doc_id")
-    return documents.select(
-        key.cast("string").alias("article_id"),
-        (key % 4).cast("string").alias("article_version"),
-        F.concat(F.col("source"), F.lit(" "), F.col("lang")).alias("title"),
-        F.col("lang").alias("keywords"),
-        F.col("text").alias("description"),
-        F.when(key % 5 == 0, "Local <b>note</b>").otherwise("").alias("other_comments"),
-        F.lit(None).cast("string").alias("cms_cov_policy"),
-    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from remitlens.operators import uploads as up
 from remitlens.operators.model import TreeSettings
 from remitlens.plans import claims_run as cr
-from remitlens.sources import adapter as ad
+from driver_queries import adapter as ad
 from remitlens.sources import claims as sc
 from remitlens.sources import documents as dc
 from remitlens.sources import rule_files as rf
