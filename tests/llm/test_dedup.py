@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from helpers import Sets, cut_texts, near_documents
+from pyspark.sql import functions as F
 
 from remitlens.llm import lattice_dedup, lsh_forest, suffix_dedup
 from remitlens.llm.common import table
@@ -110,6 +111,37 @@ def test_near_documents(spark, most):
         assert sum(g[1] == want[i][1] for i, g in got.items()) >= 0.9 * len(got)
 
 
+def signed_alike(monkeypatch, signed):
+    """Every signature is ``signed``, a column over doc_id."""
+    own = lsh_forest.features
+    monkeypatch.setattr(lsh_forest, "features", lambda *a: own(*a).withColumn("signed", F.when(F.col("signed").isNotNull(), signed)))
+
+
+def pairs_in_a_template(draw, n):
+    """Pairs of near copies, all in one template that links none of the pairs with another."""
+    template, docs = [f"t{k}" for k in range(80)], []
+    for p in range(n):
+        words = template[:40] + [f"p{p}_{k}" for k in range(20)] + template[40:]
+        docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join([*words, f"x{p}"]))]
+    docs = list(zip(draw.sample(range(1000), len(docs)), (t for _, t in docs)))
+    return docs + [(1000 + k, " ".join([*template, f"y{k}"])) for k in range(30)]
+
+
+def test_near_documents_of_one_last_region(spark, monkeypatch):
+    """Links between classes of different blocks of a region that no depth divides."""
+    docs = pairs_in_a_template(random.Random(11), 40)
+    signed_alike(monkeypatch, F.lit(bytearray(lsh_forest.TREES * lsh_forest.DEPTH * 4)))
+    df = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], DOCS)
+    assert near(df, size=3, percent=85, most=8) == near_documents(docs, 3, 85)
+
+
+def test_signatures_of_long_texts_tell_strangers_apart():
+    draw = np.random.default_rng(4)
+    x, y = (np.sort(draw.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2)) for _ in range(2))
+    times, plus = lsh_forest._permutations()
+    assert (lsh_forest.signatures(x, times, plus) == lsh_forest.signatures(y, times, plus)).sum() == 0
+
+
 def test_near_documents_of_odd_tables(spark):
     assert lsh_forest.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     same = spark.createDataFrame([(1, "a b c d", 0, 0, 0)] * 2 + [(None, "a b c d", 0, 0, 0), (3, None, 0, 0, 0)], DOCS)
