@@ -12,10 +12,11 @@
    whole, a larger one region by region: breadth-first from one class to those not
    reached yet, on the full sets. Only links that reach a new class are returned, so
    neither candidates nor links of a dense group are ever listed pair by pair.
-4. Components of these links. A region that was too large at the last depth then has
-   its largest component's classes and the others dealt into blocks; every block of
-   the others is compared with every block, so all its pairs are compared or known
-   to be in one component.
+4. Components of these links. Deepening parts classes, so a region that was too large
+   at the first depth then has its largest component's classes and the others dealt
+   into blocks; every block of the others is compared with every block. So all pairs
+   that share ``DEPTHS[0]`` values in some tree are compared or known to be in one
+   component, however large their region is.
 5. Components of all links, back to all documents of each class.
 
 Nulls and texts without words have an empty set and link with nothing. Ids should
@@ -126,7 +127,7 @@ def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 def regions(classes: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """``tree``, ``region`` (key of the adapted prefix), ``rep`` and ``path`` (the whole signature).
 
-    Then ``tree``, ``region`` and ``rep`` of the regions that are too large at the last depth, if any.
+    Then ``tree``, ``region`` and ``rep`` of the regions that are too large at the first depth, if any.
     """
     width = BYTES * DEPTH
     rows = classes.select(
@@ -140,10 +141,10 @@ def regions(classes: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]
         fits = key.where(F.col("size") <= most) if depth != DEPTHS[-1] else key
         part = fits.select("tree", "region", "rep", "path", "size", "first")
         done = part if done is None else done.unionByName(part)
-        if key.where(F.col("size") > most).isEmpty():
+        if depth == DEPTHS[-1] or key.where(F.col("size") > most).isEmpty():
             break
         rows = cut_lineage(key.where(F.col("size") > most).select("rep", "tree", "path", "region"), "deeper")
-        if depth == DEPTHS[-1]:
+        if depth == DEPTHS[0]:
             crowded = rows.select("tree", "region", "rep")
     blocks = F.ceil(F.col("size") / most)
     home = F.pmod(F.xxhash64("rep", "tree"), blocks)

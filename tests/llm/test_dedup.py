@@ -135,6 +135,19 @@ def test_near_documents_of_one_last_region(spark, monkeypatch):
     assert near(df, size=3, percent=85, most=8) == near_documents(docs, 3, 85)
 
 
+def test_near_documents_that_part_when_a_region_deepens(spark, monkeypatch):
+    """All share the first depth's values, and each is alone at the next depth."""
+    docs = pairs_in_a_template(random.Random(12), 40)
+    at, own = 4 * lsh_forest.DEPTHS[0], 4 * (lsh_forest.DEPTH - lsh_forest.DEPTHS[0])
+    trees = [
+        F.concat(F.lit(bytearray(at)), F.substring(F.unhex(F.sha2(F.concat("doc_id", F.lit(f"/{t}")), 512)), 1, own))
+        for t in range(lsh_forest.TREES)
+    ]
+    signed_alike(monkeypatch, F.concat(*trees))
+    df = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], DOCS)
+    assert near(df, size=3, percent=85, most=8) == near_documents(docs, 3, 85)
+
+
 def test_signatures_of_long_texts_tell_strangers_apart():
     draw = np.random.default_rng(4)
     x, y = (np.sort(draw.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2)) for _ in range(2))
