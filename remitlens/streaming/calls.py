@@ -25,14 +25,16 @@ def call_phase_stream(
     flow: CallFlow,
     first_turn: int = 0,
     patience_ms: int | None = 60_000,
-    most_waiting: int | None = 10_000,
+    most_waiting: int | None = None,
 ) -> DataFrame:
     """(call_id, turn, state, late) as turns become decidable.
 
     Patterns are tested natively; only the replay is Python. A turn that is ahead
     of its turn waits until the gap fills, until ``patience_ms`` pass without news of
-    the call, or until ``most_waiting`` turns wait (which bounds the state); then the
-    waiting turns are taken as they are. A turn older than the last decided one can
+    the call, or, if ``most_waiting`` is given, until more turns than that wait behind a
+    gap (which bounds the state, at the price of gaps that would have filled); then the
+    waiting turns are taken as they are. Without it, a call's state holds all its turns
+    behind the gap. A turn older than the last decided one can
     no longer change a phase: it is returned with ``late`` and without a state, so
     nothing is lost unseen. Without ``patience_ms`` no time is watched; a bounded run
     (``availableNow``) needs that, because Spark keeps a query with processing-time
@@ -55,10 +57,13 @@ def call_phase_stream(
                     pending[int(turn)] = [int(p) for p in after]
                 else:
                     out.append((key[0], int(turn), None, True))
-        full = most_waiting is not None and len(pending) > most_waiting
+        full = False
         for turn in sorted(pending):
-            if turn != expected and not state.hasTimedOut and not full:
-                break
+            if turn != expected and not state.hasTimedOut:
+                # what waits behind a gap, the turns that follow on being taken
+                full = full or (most_waiting is not None and len(pending) > most_waiting)
+                if not full:
+                    break
             phase = pending.pop(turn)[phase - 1]
             expected = turn + 1
             out.append((key[0], turn, phases[phase - 1], False))

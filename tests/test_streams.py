@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from driver_queries import calls as dc
 from remitlens.operators import calls as ca
 from remitlens.operators import requests as rq
 from remitlens.operators import rules as rl
@@ -55,6 +56,29 @@ def test_calls_with_text_ids_and_a_gap_that_never_fills(spark, tmp_path):
     ]
 
 
+def test_turns_that_follow_on_do_not_count_as_waiting(spark, tmp_path):
+    """Only the turn behind the gap waits, so the gap may still fill."""
+    stream = files(
+        spark, tmp_path, "call_id long, turn long, payer string",
+        [(1, t, "npi") for t in range(8)] + [(1, 9, "claim")], [(1, 8, "status")],
+    )
+    rows = run(sca.call_phase_stream(stream, ca.STATUS_CALL, patience_ms=None, most_waiting=3), tmp_path, "out")
+    assert sorted((r.turn, r.late) for r in rows) == [(t, False) for t in range(10)]
+
+
+def test_a_hot_call_whose_odd_turns_come_first(spark, tmp_path, monkeypatch):
+    """The registered query gives every turn of a call of 24,000 turns the phase of the batch."""
+    words = ["tion", "thwh", "plain", "ingthe", "esan"]
+    turns = spark.createDataFrame(
+        [(7, t, words[t % 5], "") for t in range(24_000)] + [(8, 0, "tion", "")],
+        "call_id long, turn int, payer string, provider string",
+    )
+    monkeypatch.setattr(dc, "turns", lambda *_: turns)
+    got = {(r.call_id, r.turn): r.state for r in dc.QUERIES["stream_call_phase"](spark, "").collect()}
+    assert got == {(r.call_id, r.turn): r.state for r in ca.call_phases(turns, dc.FLOW_A).collect()}
+    assert len(got) == 24_001 and None not in got.values()
+
+
 FACTS = (
     "CLM_ID string, DESYNPUF_ID string, sample_id int, CLM_FROM_DT string, CLM_THRU_DT string, CLM_DRG_CD string, days double, "
     "codes array<string>, header_dx_count int, line_dx_count int, first_line_dx string, seen_a boolean, seen_b boolean, seen_c boolean"
