@@ -427,7 +427,8 @@ def cut_documents(
             if texts and shared == len(entry) == len(texts[-1]):
                 same[-1].append((r, i))
                 continue
-            if texts and shared < k:
+            # windows sent one by one repeat only as a whole, and equal ones have melted together
+            if texts and (shared < k or entry.startswith(WINDOW)):
                 settle(same, texts)
                 same, texts = [], []
             same.append([(r, i)])

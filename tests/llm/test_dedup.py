@@ -61,6 +61,22 @@ def test_suffix_cuts_of_small_texts(spark, hot):
     assert cut(df, length=30, k=12, group_bytes=3000, hot=hot) == cut_texts(docs, 30)
 
 
+def test_hot_windows_that_differ_in_one_byte(spark):
+    """Windows equal but for the last byte that their start must share are no repeats."""
+    draw = random.Random(6)
+
+    def some(n):
+        return "".join(draw.choice("abcdefghij") for _ in range(n))
+
+    docs = []
+    for _ in range(60):
+        before, after = some(11), some(18)
+        docs += [(len(docs) + j, some(40) + before + c + after + some(40)) for j, c in enumerate("xy")]
+    docs += [(len(docs), docs[0][1])]
+    df = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], DOCS)
+    assert cut(df, length=30, k=12, group_bytes=1500, hot=2) == cut_texts(docs, 30)
+
+
 def test_suffix_cuts_of_odd_tables(spark):
     assert suffix_dedup.cut_documents(spark.createDataFrame([], DOCS)).count() == 0
     same = spark.createDataFrame([(1, "x" * 150, 0, 0, 0)] * 3, DOCS)
