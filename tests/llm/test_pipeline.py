@@ -91,6 +91,22 @@ def test_stages_of_odd_tables(spark):
         assert (docs.count() > 0) == bool(some)
 
 
+def test_equal_rows_stay_once_and_are_drawn_one_by_one(spark, monkeypatch):
+    kind = table(spark, SF, "documents").schema
+    text = [" ".join(f"w{s}{k}" for k in range(10)) for s in range(3)]
+    rows = [(None, text[0], "en", "a", 3)] * 4 + [(1, text[1], "en", "a", 3)] * 3 + [(2, text[2], "en", "b", 3)]
+    kept = cp.near_duplicates(spark, spark.createDataFrame(rows, kind), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == list(enumerate(text))
+    # the last source's target lies below its size
+    rows = [(k, text[0], "en", s, 3) for k in range(30) for s in "ab"]
+    rows += [(99, text[1], "en", "c", 3)] * 20 + [(None, text[2], "en", "c", 3)] * 10
+    docs = spark.createDataFrame(rows, kind)
+    monkeypatch.setattr(source_mix, "BUCKET", 4)
+    want = {r.source: r.taken for r in source_mix.mix(docs).groupBy("source").agg({"taken": "sum"}).toDF("source", "taken").collect()}
+    got = Counter(r.source for r in cp.mix_sources(spark, docs, SF).collect())
+    assert {s: 10 * n for s, n in got.items()} == want and 0 < got["c"] < 30
+
+
 def test_run_is_registered(spark, stages):
     rows = entry.queries()["pipeline"](spark, SF).collect()
     assert Counter((r.doc_id, bytes(r.ids)) for r in rows) == Counter((r.doc_id, bytes(r.ids)) for r in stages[5])
