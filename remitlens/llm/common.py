@@ -28,3 +28,11 @@ def unit_random(seed: int, *key: Column) -> Column:
     name = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in key])
     bits = F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double")
     return (bits + F.lit(0.5)) / F.lit(281474976710656.0)
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, for DuckDB; 3988292384 is the checksum's polynomial."""
+    step = "case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end"
+    byte = f"list_reduce(list_prepend(xor(r, v), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: {step})"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda r, v: {byte}), 4294967295)"

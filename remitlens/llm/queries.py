@@ -5,10 +5,13 @@ from __future__ import annotations
 from . import (
     bpe_tree,
     chat_collapse,
+    concat_cut,
     host_quality,
     lattice_dedup,
     lsh_forest,
+    merkle,
     packing,
+    prefix_trie,
     source_mix,
     suffix_dedup,
     token_counts,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_chat_collapse": chat_collapse.op9_chat_collapse,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_concat_cut": concat_cut.op12_concat_cut,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE = {
@@ -33,4 +39,6 @@ ORACLE = {
     "op8_source_mix": source_mix.ORACLE,
     "op9_chat_collapse": chat_collapse.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
