@@ -24,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,6 +36,8 @@ from .ordered import ROW_BITS, totals_before
 from .words import word_encoder
 
 VOCABULARY, END, ROW = "word_bpe_49k.json", 1, 2048
+#: Bytes of texts that are encoded together.
+TOGETHER = 1 << 20
 #: Ranges up to which their totals (16 bytes each) are sent to every executor.
 SENT_RANGES = 100_000
 
@@ -49,6 +52,18 @@ def _loaded(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1)
 
 
+def _runs_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of about ``TOGETHER`` bytes, or one longer row."""
+    start = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and held + size > TOGETHER:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def encoded(
     docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -57,23 +72,21 @@ def encoded(
     id_type = to_arrow_type(kind)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, before = word_encoder(vocabulary), 0
+        enc, before = word_encoder(vocabulary, end), 0
         for batch in batches:
-            # few documents at a time, so that the ids of a batch stay small
-            for start in range(0, batch.num_rows, 64):
-                some = batch.slice(start, 64)
-                ids, sizes, befores = [], [], []
-                for text in some.column(1):
-                    found = np.append(enc.encode(text.as_py() or ""), np.uint32(end))
-                    ids.append(_stored(found))
-                    sizes.append(len(found))
-                    befores.append(before)
-                    before += len(found)
+            texts = batch.column(1)
+            sizes = pc.binary_length(texts).fill_null(0).to_numpy()
+            for start, stop in _runs_of(sizes):
+                some = [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+                ids, ends = enc.encode_all(some)
+                starts = np.append(0, ends[:-1])
+                stored = [_stored(ids[a:b]) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).cast(id_type), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()),
-                     pa.array(befores, pa.int64())],
+                    [batch.column(0).slice(start, stop - start).cast(id_type), pa.array(stored, pa.binary()),
+                     pa.array(ends - starts), pa.array(before + starts)],
                     names=["doc_id", "ids", "n", "before"],
                 )
+                before += int(ends[-1])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # equal rows are told apart by where they were read, so that many copies spread

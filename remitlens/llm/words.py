@@ -3,25 +3,46 @@
 The vocabulary this is made for replaces white space by a space and then drops it, so
 no token, no special string and no composed character reaches over white space: the
 ids of a text are those of its words one after the other. Each worker asks the
-library once per distinct word and keeps the answers in arrays of a bounded size. The
-information separators, which part words for Python but not for the library, send a
-text to the library as a whole.
+library once per distinct word and keeps the answers in arrays of a bounded size. Of
+words in Latin letters, digits and signs it asks the library's model once per distinct run
+of letters or signs, which the library would keep apart as well. The information
+separators, which part words for Python but not for the library, send a text to the
+library as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
 from .ranks import file_of
 
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
-#: Ids kept per worker before it starts anew, and code points of a word that is not kept.
-MOST_IDS, LONG_WORD = 1 << 23, 256
+#: Letters that stay one composed letter when lower-cased.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+#: Words of letters, digits and signs; an apostrophe may begin a contraction.
+_PLAIN = re.compile(rf"[!-&(-~{_LETTERS}]+")
+_RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: Words, runs, and code points of words kept per worker before it starts anew (about 150 MB).
+MOST_WORDS, MOST_RUNS, MOST_CHARS = 1 << 19, 1 << 17, 1 << 24
+#: Stands between texts in a list of words; no word holds a space.
+_END = " "
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that the byte-level vocabulary writes for each byte: itself if it is visible, else the next free one."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 def _written(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
@@ -32,66 +53,114 @@ def _written(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
     return held
 
 
+class _Numbered(dict):
+    """Numbers words from 0 as they are first asked for; ``new`` are those not yet learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
-    def __init__(self, vocabulary: str, most: int = MOST_IDS):
+    """``end`` is the id that ends every text, if one does."""
+
+    def __init__(self, vocabulary: str, end: int | None = None, most: int = MOST_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file_of(vocabulary))
+        self.model = self.library.model
+        self.signs = _byte_signs()
+        self.end = [] if end is None else [end]
+        self.end_bytes = _packed(self.end)
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.used = 0
+        self.place = _Numbered()
+        self.runs: dict[str, bytes] = {}
+        self.used = self.chars = 0
         self.flat = np.zeros(1 << 16, "<u4")
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum()))
-        n = len(self.place)
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            if len(self.runs) >= MOST_RUNS:
+                self.runs.clear()
+            signs = run if run.isascii() else "".join(map(self.signs.__getitem__, run.encode()))
+            ids = self.runs[run] = _packed([t.id for t in self.model.tokenize(signs)])
+        return ids
+
+    def _asked(self, words: list[str]) -> list[bytes]:
+        found = [
+            self.end_bytes if w == _END
+            else b"".join([self._run(run) for run in _RUNS.findall(w.lower())]) if _PLAIN.fullmatch(w) and "<|" not in w
+            else None
+            for w in words
+        ]
+        odd = [k for k, ids in enumerate(found) if ids is None]
+        for k, got in zip(odd, self.library.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)):
+            found[k] = _packed(got.ids)
+        return found
+
+    def _learn(self) -> None:
+        words, self.place.new = self.place.new, []
+        found = self._asked(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = len(self.place) - len(words)
         self.flat = _written(self.flat, self.used, ids)
         self.starts = _written(self.starts, n, self.used + np.cumsum(sizes) - sizes)
         self.sizes = _written(self.sizes, n, sizes)
-        self.place.update(zip(words, range(n, n + len(words))))
         self.used += len(ids)
-
-    def _looked_up(self, words: list[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if new:
-            if self.used > self.most:
-                self._clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self.chars += sum(map(len, words))
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        if len(self.place) > self.most or self.chars > MOST_CHARS:
+            self._clear()
+        at = np.array(list(map(self.place.__getitem__, words)), np.int64)
+        if self.place.new:
+            self._learn()
+        return at
+
+    def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``texts`` (unsigned 32-bit) in one run, and where each text's ids end.
+
+        No special tokens are added, but for the ``end`` of each text.
+        """
+        words: list[str] = []
+        n_words, whole = [], {}
+        for k, text in enumerate(texts):
+            if _SEPARATORS.search(text):
+                whole[k] = np.array(self.library.encode(text, add_special_tokens=False).ids + self.end, "<u4")
+            else:
+                words += text.split()
+                words.append(_END)
+            n_words.append(len(words))
+        at = self._places(words) if words else np.zeros(0, np.int64)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         shift = np.repeat(self.starts[at] - (ends - sizes), sizes)
-        return self.flat[shift + np.arange(len(shift))]
+        ids = self.flat[shift + np.arange(len(shift))]
+        text_ends = np.append(0, ends)[n_words]
+        if not whole:
+            return ids, text_ends
+        cuts = np.append(0, text_ends)
+        parts = [whole.get(k, ids[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of ``text`` (unsigned 32-bit), without added special tokens."""
-        if _SEPARATORS.search(text):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        words = text.split()
-        if not words:
-            return np.zeros(0, "<u4")
-        parts, begin = [], 0
-        for i, word in enumerate(words) if len(max(words, key=len)) > LONG_WORD else ():
-            if len(word) > LONG_WORD:
-                if begin < i:
-                    parts.append(self._looked_up(words[begin:i]))
-                parts.append(np.asarray(self.library.encode(word, add_special_tokens=False).ids, "<u4"))
-                begin = i + 1
-        if begin < len(words):
-            parts.append(self._looked_up(words[begin:]))
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
-def word_encoder(vocabulary: str) -> WordEncoder:
+def word_encoder(vocabulary: str, end: int | None = None) -> WordEncoder:
     """One encoder per Python worker and vocabulary."""
-    return WordEncoder(vocabulary)
+    return WordEncoder(vocabulary, end)

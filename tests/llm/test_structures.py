@@ -126,10 +126,12 @@ PARTS = [
 ]
 tiny = WordEncoder("word_bpe_49k.json", most=60)
 whole = WordEncoder("word_bpe_49k.json")
+ended = WordEncoder("word_bpe_49k.json", 1)
+PIECES = st.lists(st.sampled_from(PARTS) | st.text(max_size=3) | st.text("aZéÉİıŉǅß<|'9.#÷́ ", max_size=6), max_size=50)
 
 
-@settings(max_examples=600, deadline=None)
-@given(st.lists(st.sampled_from(PARTS) | st.text(max_size=3), max_size=50).map("".join))
+@settings(max_examples=800, deadline=None)
+@given(PIECES.map("".join))
 def test_word_ids_are_the_librarys(text):
     text = text.encode("utf-8", "ignore").decode()
     want = library.encode(text, add_special_tokens=False).ids
@@ -137,6 +139,24 @@ def test_word_ids_are_the_librarys(text):
     assert tiny.encode(text).tolist() == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PIECES.map("".join), max_size=6))
+def test_word_ids_of_several_texts(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    ids, ends = ended.encode_all(texts)
+    cuts = [0, *ends.tolist()]
+    assert len(cuts) == len(texts) + 1 and cuts[-1] == len(ids)
+    for text, a, b in zip(texts, cuts, cuts[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_word_ids_of_every_latin_letter():
+    """Alone, in capitals, before and after signs and digits."""
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA0, 0x250))]
+    text = " ".join(f"{a} {a}{a} x{a} {a}X 9{a}. {a}#{b}" for a, b in zip(letters, letters[7:] + letters[:7]))
+    assert whole.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_word_ids_of_long_words():
     text = "a b " + "x" * 5000 + " c " + "漢" * 3000 + " d"
     assert whole.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
