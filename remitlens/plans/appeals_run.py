@@ -20,15 +20,15 @@ def with_chunk_key(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_key", key)
 
 
-def corpus_index(chunks: DataFrame, stop_words: list[str] | None = None) -> rt.TextIndex:
-    """Fit the index of a chunk table; store its two tables to reuse it."""
+def corpus_index(chunks: DataFrame, stop_words: list[str] | None = None) -> rt.BlockIndex:
+    """Fit the index of a chunk table, in blocks; store its two tables to reuse it."""
     words = rt.english_stop_words() if stop_words is None else stop_words
     keyed = with_chunk_key(chunks).select("chunk_key", F.col("body").alias("text"))
-    return rt.fit_index(keyed, "chunk_key", words)
+    return rt.block_index(rt.fit_index(keyed, "chunk_key", words), "chunk_key")
 
 
 def excerpts(
-    index: rt.TextIndex,
+    index: rt.BlockIndex,
     chunks: DataFrame,
     queries: DataFrame,
     query_key: str,
@@ -37,8 +37,7 @@ def excerpts(
 ) -> DataFrame:
     """``queries`` (key, text) with a ``policy_excerpts`` block each."""
     words = rt.english_stop_words() if stop_words is None else stop_words
-    scores = rt.similarities(index, queries, "chunk_key", query_key, words)
-    best = rt.top_k(scores, query_key, "chunk_key", k)
+    best = rt.best_chunks(index, queries, "chunk_key", query_key, words, k)
     texts = with_chunk_key(chunks).select("chunk_key", "source", "source_id", "title", "body")
     hits = rt.format_hits(best.join(texts, "chunk_key"))
     return rt.prompt_blocks(queries, hits, query_key)
@@ -47,7 +46,7 @@ def excerpts(
 def appeal_letters(
     letters: DataFrame,
     key: str,
-    index: rt.TextIndex,
+    index: rt.BlockIndex,
     chunks: DataFrame,
     stop_words: list[str] | None = None,
 ) -> DataFrame:
@@ -60,7 +59,7 @@ def appeal_letters(
 def call_prompts(
     turns: DataFrame,
     contexts: DataFrame,
-    index: rt.TextIndex,
+    index: rt.BlockIndex,
     chunks: DataFrame,
     scenario: str = "2",
     template: str = ca.DEFAULT_TEMPLATE,

@@ -1,6 +1,7 @@
 """Cleaning, chunking, retrieval and letters."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from driver_queries import text as tx
 from remitlens.operators import corpus as co
 from remitlens.operators import letters as lt
 from remitlens.operators import retrieval as rt
@@ -164,6 +166,36 @@ def test_retrieval_against_brute_force(spark, size):
         assert [best.get((q, i + 1)) for i in range(len(order))] == [c for _, c in order]
 
 
+@pytest.mark.parametrize("k, size, first", [(1, 4, 1), (3, 4, 2), (3, 16, 8), (30, 1, 1)])
+def test_best_chunks_are_the_top_of_all_scores(spark, monkeypatch, k, size, first):
+    """Chunks of all lengths, equal copies, a hot term, a query without a hit and one of many terms."""
+    monkeypatch.setattr(rt, "FIRST_BLOCKS", first)
+    rng = random.Random(k + size)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.choice([1, 3, 8, 40]))) for _ in range(150)]
+    texts += texts[:40] + ["w0"] * 30
+    chunks = spark.createDataFrame([(f"c{i:03d}", t) for i, t in enumerate(texts)], "chunk string, text string")
+    asked = [" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(25)] + ["unseen", "", " ".join(words), "w0", texts[3]]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query int, text string")
+    index = rt.fit_index(chunks, "chunk", STOP)
+    want = rt.top_k(rt.similarities(index, queries, "chunk", "query", STOP), "query", "chunk", k)
+    got = rt.best_chunks(rt.block_index(index, "chunk", size), queries, "chunk", "query", STOP, k)
+    assert got.columns == want.columns or set(got.columns) == set(want.columns)
+    columns = ["query", "rank", "chunk", "score"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_few_pairs_are_scored(spark):
+    """Under a tenth of the pairs with a common term, on the driver's documents."""
+    d = "/root/testdata/sf0.1"
+    index = tx.blocks(spark, d)
+    asked = tx._asked(spark, d)
+    every = rt.similarities(tx.index(spark, d), asked, "doc_id", "item_id", tx.STOP_WORDS).count()
+    scored = rt.promising_scores(index, asked, "doc_id", "item_id", tx.STOP_WORDS, 3).count()
+    assert scored < 0.1 * every
+    assert index.blocks.select(F.max(F.size("held"))).first()[0] < 100
+
+
 def test_english_stop_words_and_bigrams_after_removal(spark):
     df = spark.createDataFrame([("State of the Art, a b",)], "t string")
     words = rt.tokens(F.col("t"), rt.english_stop_words())
