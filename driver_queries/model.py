@@ -92,12 +92,13 @@ def _membership(spark, d):
     )
 
 
+def sides(spark, d):
+    """Labelled rows with their side, split once."""
+    return pt.stored(spark, d, "sides", lambda s, path: ml.three_sides(_labelled(s, path)))
+
+
 def _val_split(spark, d):
-    return (
-        ml.validation_split(ml.patient_split(_labelled(spark, d)).where("is_train"))
-        .groupBy("is_denied", "is_val")
-        .agg(F.count("*").alias("rows"))
-    )
+    return sides(spark, d).where("side <> 'test'").select(*CLAIM_KEY, "is_denied", (F.col("side") == "val").alias("is_val"))
 
 
 def _balance(spark, d):
@@ -155,32 +156,60 @@ def rule_model(spark, d):
     return _fitted(spark, d, "rule", lambda: ml.train_gbt(ruled, ONE_TREE))
 
 
+#: Many one-split trees over one yes/no feature: each leaf is a weighted mean of residuals,
+#: so the margins follow from four counts by a recursion that SQL can write.
+STUMPS = ml.TreeSettings(trees=20, depth=1, row_share=1.0, column_share="all", min_rows=1, patience=None)
+
+
+def _with_signal(df):
+    return df.withColumn("signal", (F.col("hcpcs_count") >= 2).cast("int"))
+
+
+def stump_model(spark, d):
+    seen = _with_signal(stored_features(spark, d)).select(*CLAIM_KEY, "is_denied", "signal")
+    return _fitted(spark, d, "stumps", lambda: ml.train_gbt(seen, STUMPS))
+
+
 def _train(spark, d):
-    """Quality of the boosted trees on the held-out patients against what any use needs."""
+    """Boosted stumps against the recursion, per value of their feature, and the quality of
+    the published settings on the held-out patients against what any use needs."""
     fitted = model(spark, d)
-    test = ml.patient_split(_labelled(spark, d)).where(~F.col("is_train"))
+    test = sides(spark, d).where("side = 'test'")
     scored = ml.score(fitted, test, ["is_denied"]).select(
         F.col("is_denied").alias("label"), F.col(ml.PROBABILITY).alias("score")
     )
     counts = ev.score_counts(scored)
     quality = ev.metrics_row(counts, ev.row_sizes(counts))
-    return quality.select(
-        F.col("rows_total").alias("rows_test"),
-        F.round("positive_rate", 6).alias("positive_rate"),
-        (F.col("pr_auc") > 1.25 * F.col("positive_rate")).alias("well_above_chance"),
-        F.lit(fitted.stages[-1].getNumTrees >= 10).alias("many_trees"),
+    better = (F.col("pr_auc") > 1.25 * F.col("positive_rate")).alias("better")
+    stumps = ml.score(stump_model(spark, d), _with_signal(test), ["signal", "is_denied"])
+    return (
+        stumps.groupBy("signal")
+        .agg(
+            F.count("*").alias("rows_test"),
+            F.round(F.avg("is_denied"), 6).alias("positive_rate"),
+            F.round(F.max(ml.PROBABILITY), 6).alias("probability"),
+            F.count_distinct(F.round(ml.PROBABILITY, 9)).alias("probabilities"),
+        )
+        .withColumn("trees", F.lit(stump_model(spark, d).stages[-1].getNumTrees))
+        .withColumn("well_above_chance", quality.select(better).scalar())
+        .withColumn("many_trees", F.lit(fitted.stages[-1].getNumTrees >= 10))
     )
 
 
 def _score(spark, d):
-    """All rows scored by the trees and by the one-tree model, whose answer is known."""
+    """All rows scored by the trees, by the stumps and by the one-tree model; the answers
+    of the last two are known."""
     keep = [*CLAIM_KEY, "is_denied"]
-    ruled = ml.score(rule_model(spark, d), stored_features(spark, d), [*keep, *FEATURES])
+    rows = _with_signal(stored_features(spark, d))
+    ruled = ml.score(rule_model(spark, d), rows, [*keep, *FEATURES, "signal"])
     ruled = ruled.withColumnRenamed(ml.PROBABILITY, "rule_probability")
-    scored = ml.score(model(spark, d), ruled, [*keep, "rule_probability"])
+    stumps = ml.score(stump_model(spark, d), ruled, [*keep, *FEATURES, "signal", "rule_probability"])
+    stumps = stumps.withColumnRenamed(ml.PROBABILITY, "boosted_probability")
+    scored = ml.score(model(spark, d), stumps, [*keep, "rule_probability", "boosted_probability"])
     return scored.select(
         *keep,
         F.round("rule_probability", 6).alias("rule_probability"),
+        F.round("boosted_probability", 6).alias("boosted_probability"),
         F.col(ml.PROBABILITY).between(0.0, 1.0).alias("is_probability"),
     )
 
@@ -234,13 +263,32 @@ op as (select point, threshold, count(*) filter (score>=threshold and label=1)/g
    2*count(*) filter (score>=threshold and label=1)/(count(*) filter (score>=threshold)+count(*) filter (label=1)) f1
    from points, s group by 1, 2)
 """
-_BUCKET = "cast(('0x' || substr(md5(coalesce(DESYNPUF_ID,'')),1,8)) as bigint) % 100"
-_VAL = (
-    "cast(('0x' || substr(md5(concat_ws('|','val',CLM_ID,DESYNPUF_ID,cast(sample_id as varchar),CLM_FROM_DT,"
-    "CLM_THRU_DT,coalesce(CLM_DRG_CD,''))),1,8)) as bigint) % 100"
-)
 _LABELLED = ", lab as (select * from feats where is_denied is not null)"
 
+
+def _hash(text: str) -> str:
+    return f"cast(('0x' || substr(md5({text}),1,15)) as bigint)"
+
+
+_ROW = _hash(
+    "concat_ws('|','val',CLM_ID,DESYNPUF_ID,cast(sample_id as varchar),CLM_FROM_DT,CLM_THRU_DT,coalesce(CLM_DRG_CD,''))"
+)
+#: Exactly a fifth of the patients is held out, and a fifth of the rows of each label of the others.
+_SIDES = (
+    _LABELLED
+    + f""", pat as (select pid, row_number() over (order by {_hash('pid')}) rn, count(*) over () n from (select distinct coalesce(DESYNPUF_ID,'') pid from lab)),
+sided as (select lab.*, {_ROW} spread, rn <= n - (n*20+99)//100 is_train from lab join pat on pid = coalesce(DESYNPUF_ID,'')),
+borders as (select is_denied, max(spread) cut from (select is_denied, spread, row_number() over (partition by is_denied order by spread) rn,
+    count(*) over (partition by is_denied) n from sided where is_train) where rn <= (n*20+99)//100 group by 1),
+sides as (select s.*, case when not is_train then 'test' when spread <= cut then 'val' else 'train' end side, (hcpcs_count >= 2)::int signal
+  from sided s left join borders b using (is_denied))"""
+)
+_STUMPS = f""", bal as (select greatest(count(*) filter (is_denied=0),1)/greatest(count(*) filter (is_denied=1),1) w from sides where side='train'),
+g as (select signal, count(*) filter (is_denied=1)*any_value(w) a, count(*) filter (is_denied=0)::double b from sides, bal where side='train' group by 1),
+boost as (select 1 k, signal, a, b, (a-b)/(a+b) m from g
+  union all select k+1, signal, a, b, m + {STUMPS.step}*4*(a/(1+exp(2*m)) - b/(1+exp(-2*m)))/(a+b) from boost where k < {STUMPS.trees}),
+stumps as (select signal, 1/(1+exp(-2*m)) probability from boost where k = {STUMPS.trees})"""
+
 ORACLE = {
     "pr_curve": _CURVE
     + "select threshold, tp, fp, round(precision,6) as precision, round(recall,6) recall from curve",
@@ -264,15 +312,15 @@ ORACLE = {
     + ", ".join(f"coalesce({c},0)::double {c}" for c in FEATURES)
     + " from feats",
     "labelled_only": cl.BASE + _LABELLED + f" select {cl.KEY}, is_denied from lab",
-    "patient_split": cl.BASE + _LABELLED + f" select CLM_ID, DESYNPUF_ID, {_BUCKET} < 80 is_train from lab",
+    "patient_split": cl.BASE + _SIDES + " select CLM_ID, DESYNPUF_ID, is_train from sides",
     "patient_membership": cl.BASE
-    + _LABELLED
-    + f", p as (select DESYNPUF_ID, count(*) filter ({_BUCKET} < 80) train, count(*) filter ({_BUCKET} >= 80) test from lab group by 1)"
+    + _SIDES
+    + ", p as (select DESYNPUF_ID, count(*) filter (is_train) train, count(*) filter (not is_train) test from sides group by 1)"
     " select sum(train)::bigint train_rows, sum(test)::bigint test_rows, count(*) filter (train>0) train_patients,"
     " count(*) filter (train>0 and test>0) patients_on_both from p",
     "stratified_val_split": cl.BASE
-    + _LABELLED
-    + f" select is_denied, {_VAL} < 20 is_val, count(*) as rows from lab where {_BUCKET} < 80 group by 1, 2",
+    + _SIDES
+    + f" select {cl.KEY}, is_denied, side='val' is_val from sides where side<>'test'",
     "class_balance": cl.BASE
     + _LABELLED
     + " select greatest(count(*) filter (is_denied=0),1) negatives, greatest(count(*) filter (is_denied=1),1) positives,"
@@ -352,12 +400,16 @@ union all {lines(6, "ov", notes)}"""
 ORACLE["report_markdown"] = _report_sql()
 ORACLE["train_gbt"] = (
     cl.BASE
-    + _LABELLED
-    + f" select count(*) rows_test, round(avg(is_denied), 6) positive_rate, true well_above_chance, true many_trees"
-    f" from lab where {_BUCKET} >= 80"
+    + _SIDES
+    + _STUMPS
+    + f""" select signal, count(*) rows_test, round(avg(is_denied), 6) positive_rate, round(any_value(probability), 6) probability,
+  1 probabilities, {STUMPS.trees} trees, true well_above_chance, true many_trees
+  from sides join stumps using (signal) where side='test' group by 1"""
 )
 ORACLE["score_batch"] = (
     cl.BASE
+    + _SIDES
+    + _STUMPS
     + f" select {cl.KEY}, is_denied, round(1 / (1 + exp(case when hcpcs_count >= 2 then -2 else 2 end)), 6) rule_probability,"
-    " true is_probability from feats"
+    " round(probability, 6) boosted_probability, true is_probability from feats join stumps on signal = (hcpcs_count >= 2)::int"
 )

@@ -111,8 +111,8 @@ def run_training(
     """(model, metrics): fitted on the training patients, measured on the others."""
     model = ml.train_gbt(features, settings)
     tb.write_model(model, f"{out}/model")
-    sided = ml.validation_split(ml.patient_split(ml.labelled_only(features)))
-    test = sided.where(~F.col("is_train"))
+    sided = ml.three_sides(ml.labelled_only(features))
+    test = sided.where("side = 'test'")
     scored = _store(
         ml.score(model, test, ["is_denied"]).select(
             F.col("is_denied").alias("label"), F.col(ml.PROBABILITY).alias("score")
@@ -123,9 +123,9 @@ def run_training(
         F.lit(sample_id).alias("sample_id"),
         F.count("*").alias("rows_total"),
         F.lit(features.count()).alias("rows_all_features"),
-        F.count_if(F.col("is_train") & ~F.col("is_val")).alias("rows_train"),
-        F.count_if(F.col("is_train") & F.col("is_val")).alias("rows_val"),
-        F.count_if(~F.col("is_train")).alias("rows_test"),
+        F.count_if(F.col("side") == "train").alias("rows_train"),
+        F.count_if(F.col("side") == "val").alias("rows_val"),
+        F.count_if(F.col("side") == "test").alias("rows_test"),
         F.avg("is_denied").alias("positive_rate"),
     )
     counts = ev.score_counts(scored)
