@@ -175,13 +175,13 @@ def _stream_calls(spark, d):
     for odd in (1, 0):
         source.where(F.col("turn") % 2 == odd).coalesce(4).write.mode("append").parquet(path)
     stream = scl.arriving(spark, path, source.schema, max_files=4)
-    phases = sca.call_phase_stream(stream, FLOW_A, patience_ms=None, most_waiting=None)
+    events = sca.call_phase_stream(stream, FLOW_A, patience_ms=None)
     _run(
-        phases.writeStream.format("parquet").option("path", out)
+        events.writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", fresh_path(spark, "ckpt")).trigger(availableNow=True).start()
     )
     # a late turn, which has no phase, would show against the batch
-    return spark.read.parquet(out).drop("late")
+    return sca.phases_of(spark.read.parquet(out), FLOW_A).drop("late")
 
 
 def _stream_requests(spark, d):

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_SECONDS, LIMIT = 60, 60
+#: Sub-cells of a window in which requests are counted.
+SUB_CELLS = 16
 
 
 def _cells(log: DataFrame, seconds: int) -> DataFrame:
@@ -26,20 +28,36 @@ def _cells(log: DataFrame, seconds: int) -> DataFrame:
 def trailing_demand(log: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Requests of the client in the ``seconds`` up to and including each request.
 
-    A cell is one window long, so a request only needs its own and the previous
-    cell; each cell is lent to the next one.
+    Requests are counted per client and microsecond first, so many at one moment are
+    one row. The count up to a moment is the count of the sub-cells before its own and
+    of the moments up to it in its own; the demand is that count less the one just
+    before the window. So no group is larger than the microseconds of a sub-cell, and a
+    busy client is as many groups as its log has sub-cells.
     """
-    cells = _cells(log, seconds).withColumn("own", F.lit(True))
-    lent = cells.withColumns({"cell": F.col("cell") + 1, "own": F.lit(False)})
-    trailing = (
-        Window.partitionBy("client", "cell").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-    )
-    return (
-        cells.unionByName(lent)
-        .withColumn("demand", F.count("*").over(trailing))
-        .where("own")
-        .select("client", "request_id", "demand")
+    width = max(1, seconds * 1_000_000 // SUB_CELLS)
+    requests = _cells(log, seconds).select("client", "request_id", "at")
+    moments = requests.groupBy("client", "at").agg(F.count("*").alias("n"))
+    edges = moments.select("client", (F.col("at") - seconds * 1_000_000).alias("at"), F.lit(0).cast("bigint").alias("n"))
+    marked = moments.withColumn("edge", F.lit(False)).unionByName(edges.withColumn("edge", F.lit(True)))
+    marked = marked.withColumn("sub", F.floor(F.col("at") / width))
+    before = Window.partitionBy("client").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    subs = marked.groupBy("client", "sub").agg(F.sum("n").alias("n"))
+    subs = subs.select(
+        F.col("client").alias("of"), F.col("sub").alias("of_sub"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")
     )
+    inside = Window.partitionBy("client", "sub").orderBy("at")
+    counted = marked.select(
+        "client", "sub", "at", "edge",
+        F.sum("n").over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("up_to"),
+        F.coalesce(F.sum("n").over(inside.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"),
+    )
+    same = F.col("client").eqNullSafe(F.col("of")) & (F.col("sub") == F.col("of_sub"))
+    counted = counted.join(subs, same)
+    part = F.when(F.col("edge"), -(F.col("below") + F.col("earlier"))).otherwise(F.col("up_to") + F.col("earlier"))
+    moment = F.when(F.col("edge"), F.col("at") + seconds * 1_000_000).otherwise(F.col("at"))
+    demand = counted.groupBy(F.col("client").alias("of"), moment.alias("moment")).agg(F.sum(part).alias("demand"))
+    here = F.col("client").eqNullSafe(F.col("of")) & (F.col("at") == F.col("moment"))
+    return requests.join(demand, here).select("client", "request_id", "demand")
 
 
 def busy_runs(cells: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from remitlens.schema import CLAIM_KEY, HEADER_DX, LINE_DX, LINE_STATUS
 NONCOVERED = "HCPCS_NONCOVERED"
 UNBUNDLING = "PTP_UNBUNDLING"
 CONDITION_UNMET = "LCD_CONDITION_UNMET"
+#: Codes of a block when the codes of a claim meet.
+PAIR_BLOCK = 64
 
 
 def unpivot_codes(claims: DataFrame) -> DataFrame:
@@ -100,19 +102,34 @@ def _split_claim_codes(facts: DataFrame) -> DataFrame:
     return claim_codes(facts).distinct().join(several, "CLM_ID", "left_semi")
 
 
-def claim_code_pairs(facts: DataFrame) -> DataFrame:
+def _block_pairs(codes: DataFrame, size: int) -> DataFrame:
+    """Pairs of the distinct ``codes`` of a claim: a triangle of blocks of about ``size`` codes.
+
+    Codes are dealt into blocks by hash; every two blocks of a claim, and every block
+    with itself, meet in a group of their own, so a claim with very many codes is many
+    small groups.
+    """
+    sizes = codes.groupBy("CLM_ID").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    dealt = codes.join(sizes, "CLM_ID").withColumn("own", F.pmod(F.xxhash64("hcpcs_code"), F.col("blocks")))
+    first = dealt.select(
+        "CLM_ID", F.col("hcpcs_code").alias("a"), F.col("own").alias("i"),
+        F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"),
+    )
+    second = dealt.select(
+        "CLM_ID", F.col("hcpcs_code").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("i"),
+        F.col("own").alias("j"),
+    )
+    met = first.join(second, ["CLM_ID", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    return met.select("CLM_ID", F.least("a", "b").alias("code_lo"), F.greatest("a", "b").alias("code_hi"))
+
+
+def claim_code_pairs(facts: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """Distinct (claim, lower code, higher code).
 
     Pairs inside a row need no shuffle. Only claims in several segments can own
-    pairs across rows; those meet on the claim id, after their codes were made
-    distinct (so at most the code list's size per claim, however many rows).
+    pairs across rows; their codes are made distinct and meet block by block.
     """
-    split = _split_claim_codes(facts)
-    across = (
-        split.withColumnRenamed("hcpcs_code", "code_lo")
-        .join(split.withColumnRenamed("hcpcs_code", "code_hi"), "CLM_ID")
-        .where(F.col("code_lo") < F.col("code_hi"))
-    )
+    across = _block_pairs(_split_claim_codes(facts), block)
     return _row_pairs(facts).unionByName(across).distinct()
 
 
@@ -121,9 +138,10 @@ def listed_pair_claims(facts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Same claims as joining ``claim_code_pairs`` to the list, without ever
     forming the pairs of a many-segment claim: there a code fetches its listed
-    partners and each partner is looked up among the claim's own codes.
+    partners and each partner is looked up among the claim's own codes. A code listed
+    with itself is no pair.
     """
-    pairs = pairs.select("code_lo", "code_hi").distinct()
+    pairs = pairs.where("code_lo < code_hi").select("code_lo", "code_hi").distinct()
     inside = _row_pairs(facts).join(pairs, ["code_lo", "code_hi"], "left_semi").select("CLM_ID")
     split = _split_claim_codes(facts)
     wanted = (
@@ -199,8 +217,8 @@ def with_decision(flagged: DataFrame) -> DataFrame:
     )
 
 
-def stage1(facts: DataFrame, hcpcs: DataFrame, ptp: DataFrame, links: DataFrame) -> DataFrame:
-    hits = rule_hits(facts, hcpcs, ptp, links)
+def judged(facts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Claim rows with the verdict of their claim; ``hits`` has one row per convicted claim."""
     flags = ["rule_hcpcs_noncovered", "rule_ptp_unbundling", "rule_lcd_condition_unmet"]
     narrow = facts.select(
         *CLAIM_KEY,
@@ -214,3 +232,25 @@ def stage1(facts: DataFrame, hcpcs: DataFrame, ptp: DataFrame, links: DataFrame)
         "observed_has_c",
     )
     return with_decision(joined)
+
+
+def stage1(facts: DataFrame, hcpcs: DataFrame, ptp: DataFrame, links: DataFrame) -> DataFrame:
+    return judged(facts, rule_hits(facts, hcpcs, ptp, links))
+
+
+def code_rules(hcpcs: DataFrame, ptp: DataFrame, links: DataFrame) -> DataFrame:
+    """What the rule tables say about each code: ``noncovered``, ``linked`` and ``partners``,
+    the codes it must not stand with. Codes that no rule names have no row."""
+    pairs = canonical_pairs(ptp).where("modifier = '0' and code_lo < code_hi").select("code_lo", "code_hi").distinct()
+    both = pairs.unionByName(pairs.select(F.col("code_hi").alias("code_lo"), F.col("code_lo").alias("code_hi")))
+    none = F.lit(None).cast("string")
+    no = F.lit(False)
+    listed = hcpcs.where(F.coalesce("is_noncovered", no)).select("hcpcs_code")
+    named = (
+        listed.select("hcpcs_code", F.lit(True).alias("noncovered"), no.alias("linked"), none.alias("partner"))
+        .unionByName(linked_codes(links).select("hcpcs_code", no.alias("noncovered"), F.lit(True).alias("linked"), none.alias("partner")))
+        .unionByName(both.select(F.col("code_lo").alias("hcpcs_code"), no.alias("noncovered"), no.alias("linked"), F.col("code_hi").alias("partner")))
+    )
+    return named.groupBy("hcpcs_code").agg(
+        F.bool_or("noncovered").alias("noncovered"), F.bool_or("linked").alias("linked"), F.collect_set("partner").alias("partners")
+    )

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from remitlens.operators import model as ml
 from remitlens.operators import rules
+from remitlens.schema import CLAIM_KEY
+from remitlens.session import cut_lineage
 
-#: Folders that the rows of a stream's claims are dealt into.
-CLAIM_BUCKETS = 16
+#: Code sightings a task holds before it passes them on.
+THINNED = 100_000
+FLAGS = ("rule_hcpcs_noncovered", "rule_ptp_unbundling", "rule_lcd_condition_unmet")
+STATE = "codes array<string>, noncovered boolean, linked boolean, bare boolean, unbundled boolean"
 
 
 def arriving(
@@ -24,6 +33,58 @@ def arriving(
     return reader.parquet(path)
 
 
+def _sightings(facts: DataFrame) -> DataFrame:
+    """(CLM_ID, hcpcs_code, bare): codes and rows without diagnosis per claim, each once per task
+    and some 100,000, so a claim with very many rows sends little to its state."""
+    schema = "CLM_ID string, hcpcs_code string, bare boolean"
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(seen: set) -> pa.RecordBatch:
+            claims, codes, bare = zip(*seen)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(claims, pa.string()), pa.array(codes, pa.string()), pa.array(bare, pa.bool_())],
+                names=["CLM_ID", "hcpcs_code", "bare"],
+            )
+
+        seen: set[tuple] = set()
+        for batch in batches:
+            for claim, codes, bare in zip(*(c.to_pylist() for c in batch.columns)):
+                seen.update((claim, code, False) for code in codes or () if code is not None)
+                if bare:
+                    seen.add((claim, None, True))
+                if len(seen) >= THINNED:
+                    yield sent(seen)
+                    seen = set()
+        if seen:
+            yield sent(seen)
+
+    bare = (F.col("header_dx_count") == 0) & (F.col("line_dx_count") == 0)
+    rows = facts.where(F.col("CLM_ID").isNotNull()).select(
+        F.col("CLM_ID").cast("string"), "codes", F.coalesce(bare, F.lit(False)).alias("bare")
+    )
+    return rows.mapInArrow(thin, schema)
+
+
+def _convict(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Fold what arrived into the claim's state; a row when a rule convicts it for the first time."""
+    codes, noncovered, linked, bare, unbundled = state.get if state.exists else ([], False, False, False, False)
+    before = (noncovered, unbundled, linked and bare)
+    codes = set(codes)
+    for batch in batches:
+        noncovered |= bool(batch["noncovered"].any())
+        linked |= bool(batch["linked"].any())
+        bare |= bool(batch["bare"].any())
+        if not unbundled:
+            paired = batch[batch["partners"].map(len) > 0]
+            codes.update(paired["hcpcs_code"])
+            unbundled = any(not codes.isdisjoint(partners) for partners in paired["partners"])
+    # an unbundled claim stays one, whatever codes follow
+    state.update((sorted(codes) if not unbundled else [], noncovered, linked, bare, unbundled))
+    now = (noncovered, unbundled, linked and bare)
+    if now != before:
+        yield pd.DataFrame([(key[0], *now)], columns=["CLM_ID", *FLAGS])
+
+
 def stream_stage1(
     facts: DataFrame,
     hcpcs: DataFrame,
@@ -35,30 +96,31 @@ def stream_stage1(
 ) -> StreamingQuery:
     """Judge arriving claim rows with the batch rules.
 
-    A claim's segments may arrive in different batches: the rows seen so far are kept
-    under ``out``/facts, in buckets of claim ids, and a batch judges all rows of the
-    claims it touches. ``latest_verdicts`` reads the newest verdict of each. A batch
-    writes folders of its own, so a replayed batch replaces its output.
+    A claim's segments may arrive in different batches. Spark's state holds per claim what
+    the rules need of the rows so far: the codes that stand in a listed pair and
+    four flags, never the rows. A batch reads nothing of its history. Rows go to ``out``
+    as they arrive, a conviction goes there when a rule first finds it; convictions are
+    never taken back. ``latest_verdicts`` puts the two together.
     """
-
-    def bucketed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64("CLM_ID"), F.lit(CLAIM_BUCKETS)).cast("int"))
-
-    def judge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = bucketed(batch)
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/facts/batch={batch_id}")
-        stored = T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType()), rows.schema["bucket"]])
-        seen = spark.read.schema(stored).parquet(f"{out}/facts").where(F.col("batch") <= batch_id)
-        # the bucket is part of the join, so only buckets that the batch touches are read
-        touched = rows.select("bucket", "CLM_ID").where(F.col("CLM_ID").isNotNull()).distinct()
-        again = seen.join(touched, ["bucket", "CLM_ID"], "left_semi").select(*batch.columns)
-        again = again.unionByName(batch.where(F.col("CLM_ID").isNull()))
-        verdicts = rules.stage1(again, hcpcs, ptp, links)
-        verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
-
+    static = cut_lineage(rules.code_rules(hcpcs, ptp, links), "code-rules")
+    no = F.lit(False)
+    known = _sightings(facts).join(static, "hcpcs_code", "left").select(
+        "CLM_ID", "hcpcs_code", "bare",
+        F.coalesce("noncovered", no).alias("noncovered"),
+        F.coalesce("linked", no).alias("linked"),
+        F.coalesce("partners", F.array().cast("array<string>")).alias("partners"),
+    )
+    useful = known.where(F.col("bare") | F.col("noncovered") | F.col("linked") | (F.size("partners") > 0))
+    schema = ", ".join(["CLM_ID string", *[f"{f} boolean" for f in FLAGS]])
+    found = useful.groupBy("CLM_ID").applyInPandasWithState(
+        _convict, schema, STATE, "append", GroupStateTimeout.NoTimeout
+    )
+    rows = facts.select(*CLAIM_KEY, "seen_b", "seen_c", F.lit("row").alias("kind"))
+    both = rows.unionByName(found.withColumn("kind", F.lit("conviction")), allowMissingColumns=True)
     return (
-        facts.writeStream.foreachBatch(judge)
+        both.writeStream.format("parquet")
+        .option("path", out)
+        .partitionBy("kind")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -66,11 +128,10 @@ def stream_stage1(
 
 
 def latest_verdicts(spark: SparkSession, out: str) -> DataFrame:
-    """The newest verdicts of ``stream_stage1``: of each claim those of its last batch."""
-    every = spark.read.parquet(f"{out}/verdicts")
-    last = every.where(F.col("CLM_ID").isNotNull()).groupBy("CLM_ID").agg(F.max("batch").alias("batch"))
-    newest = every.join(last, ["CLM_ID", "batch"], "left_semi")
-    return newest.unionByName(every.where(F.col("CLM_ID").isNull())).drop("batch")
+    """All rows that ``stream_stage1`` has seen, each with the verdict of its claim as it stands."""
+    every = spark.read.parquet(out)
+    hits = every.where("kind = 'conviction'").groupBy("CLM_ID").agg(*[F.bool_or(f).alias(f) for f in FLAGS])
+    return rules.judged(every.where("kind = 'row'"), hits)
 
 
 def stream_score(

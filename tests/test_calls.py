@@ -148,7 +148,7 @@ def test_stream_releases_turns_in_order(spark, tmp_path):
         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("turn").collect()
+    rows = sca.phases_of(spark.read.parquet(str(tmp_path / "out")), ca.STATUS_CALL).orderBy("turn").collect()
     decided = [(r.turn, r.state) for r in rows if not r.late]
     assert decided == list(enumerate(replay(ca.STATUS_CALL, lines)))
     # the repeated turn is shown as late, not lost
