@@ -156,29 +156,17 @@ def _policy_csv(spark, d):
         "encoding", "ISO-8859-1"
     ).option("quoteAll", True).option("escape", '"').csv(path)
     return dc.scan_policy_csv(spark, path).select(
-        "NCD_id", F.length("itm_srvc_desc").alias("html_chars")
+        "NCD_id", F.length("itm_srvc_desc").alias("html_chars"), F.sha1("itm_srvc_desc").alias("html_sha1")
     )
 
 
-def _chunk_text(spark, d):
-    docs = ad.table(spark, d, "documents")
-    header = F.concat(
-        F.lit("source: doc\nsource_id: "), F.col("doc_id").cast("string"),
-        F.lit("\nversion: 1\ntitle: "), F.col("source"), F.lit("\nchunk: 1/1\n"),
-    )
-    body = dc.collapse_space(F.col("text"))
-    return docs.select(
-        "doc_id", F.sha1(dc.strip_chunk_header(F.concat(header, body))).alias("body_sha1")
-    )
-
-
-def _manifest_join(spark, d):
-    """Chunk files next to their manifest; some listed files do not exist."""
-    docs = ad.table(spark, d, "benchmark")
+def _chunk_files(spark, docs):
+    """(manifest path, root): every row of ``docs`` (key, text, is_written) in a manifest, and in a
+    file of its own with a metadata header if it is written."""
     path = fresh_path(spark, "chunk-files")
-    name = F.concat(F.lit("doc_"), F.col("item_id").cast("string"))
-    docs.where("item_id % 5 <> 0").select(
-        F.concat(F.lit("source: doc\nsource_id: x\nchunk: 1/1\n"), F.col("text")).alias("value"),
+    name = F.concat(F.lit("doc_"), F.col("key"))
+    docs.where("is_written").select(
+        F.concat(F.lit("source: doc\nsource_id: "), F.col("key"), F.lit("\nversion: 1\ntitle: t\nchunk: 1/1\n"), F.col("text")).alias("value"),
         name.alias("name"),
     ).write.option("lineSep", "\n").partitionBy("name").text(f"{path}/docs")
     written = (
@@ -186,17 +174,33 @@ def _manifest_join(spark, d):
         .select("name", F.col("_metadata.file_path").alias("file_path"))
     )
     listed = docs.select(
-        F.lit("doc").alias("source"), F.col("item_id").cast("string").alias("source_id"),
-        F.lit("1").alias("version"), F.lit("t").alias("title"), F.lit("1").alias("chunk_number"),
-        F.lit("1").alias("chunk_total"), name.alias("name"),
+        F.lit("doc").alias("source"), F.col("key").alias("source_id"), F.lit("1").alias("version"),
+        F.lit("t").alias("title"), F.lit("1").alias("chunk_number"), F.lit("1").alias("chunk_total"), name.alias("name"),
     )
     manifest = listed.join(written, "name", "left").select(
         "source", "source_id", "version", "title", "chunk_number", "chunk_total",
         F.coalesce("file_path", F.concat(F.lit("gone/"), F.col("name"))).alias("file_path"),
     )
     manifest.write.option("header", True).csv(f"{path}/manifest")
-    return dc.scan_policy_chunks(spark, f"{path}/manifest", f"{path}/docs").select(
-        "source", "source_id", F.length("body").alias("chars")
+    return f"{path}/manifest", f"{path}/docs"
+
+
+def _chunk_text(spark, d):
+    """Every document as a chunk file, read back through its manifest."""
+    docs = ad.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("key"), dc.collapse_space(F.col("text")).alias("text"), F.lit(True).alias("is_written")
+    )
+    read = dc.scan_policy_chunks(spark, *_chunk_files(spark, docs))
+    return read.select(F.col("source_id").cast("bigint").alias("doc_id"), F.sha1("body").alias("body_sha1"))
+
+
+def _manifest_join(spark, d):
+    """Chunk files next to their manifest; some listed files do not exist."""
+    docs = ad.table(spark, d, "benchmark").select(
+        F.col("item_id").cast("string").alias("key"), "text", (F.col("item_id") % 5 != 0).alias("is_written")
+    )
+    return dc.scan_policy_chunks(spark, *_chunk_files(spark, docs)).select(
+        "source", "source_id", F.length("body").alias("chars"), F.sha1("body").alias("body_sha1")
     )
 
 
@@ -213,11 +217,17 @@ def _letters(spark, d):
 
 
 def _letter_files(spark, d):
-    """Letters as files on storage."""
+    """Every document as a letter file of its own; some files are blank, and named instead."""
     path = fresh_path(spark, "letters")
-    ad.table(spark, d, "documents").select(F.regexp_replace("text", "\n", " ")).write.text(path)
-    return dc.scan_letters(spark, path, "*.txt").select(
-        F.length("extracted_text").alias("chars")
+    text = F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.concat(F.lit("\n  "), F.col("text"), F.lit("\t ")))
+    rows = ad.table(spark, d, "documents").select(text.alias("value"), F.col("doc_id").alias("letter"))
+    rows.write.partitionBy("letter").text(path)
+    read = dc.scan_letters(spark, path, "*.txt")
+    named = F.concat(F.lit("Uploaded file: "), F.col("filename"))
+    return read.select(
+        F.regexp_extract("path", r"letter=(\d+)/", 1).cast("bigint").alias("doc_id"),
+        (F.col("extracted_text") == named).alias("is_blank"),
+        F.sha1(F.when(F.col("extracted_text") == named, "").otherwise(F.col("extracted_text"))).alias("text_sha1"),
     )
 
 
@@ -273,44 +283,49 @@ def _upload(spark, d):
     )
 
 
+def _json_files(spark, rows, key, per_file, name):
+    """JSON files, each an array of the documents ``doc`` of about ``per_file`` neighbouring keys."""
+    path = fresh_path(spark, name)
+    group = F.expr(f"{key} div {per_file}").alias("file")
+    arrays = rows.groupBy(group).agg(F.to_json(F.collect_list("doc")).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+    return path
+
+
 def _context_json(spark, d):
-    """One nested context document per customer, read with its schema."""
+    """One nested context document per customer; every third one has both scenarios."""
     customer = ad.table(spark, d, "customer")
-    claim = F.struct(
-        F.col("c_custkey").cast("string").alias("claim_id"),
-        (200 + F.col("c_nationkey")).cast("string").alias("drg_code"),
-        F.create_map(F.lit("49322"), F.lit("asthma"), F.lit("1124"), F.lit("candidiasis")).alias(
-            "diagnoses"
-        ),
-        (F.col("c_custkey") % 15).alias("length_of_stay_days"),
-    )
-    doc = F.struct(F.struct(claim.alias("claim")).alias("scenario_2"))
-    path = fresh_path(spark, "context-json")
-    customer.select(F.to_json(doc).alias("value")).write.text(path)
-    return (
-        spark.read.schema(dc.CLAIM_CONTEXT_SCHEMA).json(path)
-        .select("scenario_2.claim.*")
-        .select("claim_id", "drg_code", F.map_keys("diagnoses")[0].alias("first_dx"),
-                "length_of_stay_days")
-    )
+
+    def scenario(stay):
+        claim = F.struct(
+            F.col("c_custkey").cast("string").alias("claim_id"),
+            (200 + F.col("c_nationkey")).cast("string").alias("drg_code"),
+            F.create_map(F.lit("49322"), F.col("c_mktsegment"), F.lit("1124"), F.col("c_name")).alias("diagnoses"),
+            stay.alias("length_of_stay_days"),
+        )
+        return F.struct(claim.alias("claim"))
+
+    both = F.when(F.col("c_custkey") % 3 == 0, scenario(F.col("c_custkey") % 7))
+    doc = F.struct(scenario(F.col("c_custkey") % 15).alias("scenario_2"), both.alias("scenario_3"))
+    path = _json_files(spark, customer.select("c_custkey", doc.alias("doc")), "c_custkey", 500, "context-json")
+    return dc.scan_claim_context(spark, path).select(
+        "scenario", "context.claim.claim_id", "context.claim.drg_code",
+        F.col("context.claim.diagnoses")["49322"].alias("first_dx"),
+        F.col("context.claim.diagnoses")["1124"].alias("second_dx"), "context.claim.length_of_stay_days",
+    )
 
 
 def _cases_json(spark, d):
+    """Benchmark texts as denial cases."""
     bench = ad.table(spark, d, "benchmark")
-    path = fresh_path(spark, "cases-json")
-    bench.select(
-        F.to_json(
-            F.array(
-                F.struct(
-                    F.col("item_id").cast("string").alias("id"), F.lit("D").alias("denial_type"),
-                    F.lit("reason").alias("denial_reason"), F.lit("D-MN-003").alias("denial_code"),
-                    F.col("text").alias("ground_truth_appeal"),
-                )
-            )
-        ).alias("value")
-    ).write.text(path)
-    return spark.read.schema(dc.DENIAL_CASE_SCHEMA).json(path).select(
-        "id", "denial_code", F.length("ground_truth_appeal").alias("chars")
+    case = F.struct(
+        F.col("item_id").cast("string").alias("id"), F.lit("D").alias("denial_type"),
+        F.concat(F.lit("reason "), F.col("item_id") % 4).alias("denial_reason"), F.lit("D-MN-003").alias("denial_code"),
+        F.col("text").alias("ground_truth_appeal"),
+    )
+    path = _json_files(spark, bench.select("item_id", case.alias("doc")), "item_id", 50, "cases-json")
+    return dc.scan_denial_cases(spark, path).select(
+        "id", "denial_type", "denial_reason", "denial_code", F.sha1("ground_truth_appeal").alias("appeal_sha1")
     )
 
 
@@ -444,17 +459,22 @@ ORACLE = {
   from h full outer join t using (drg_code) group by drg_code""",
     "ref_mcd_links": _K36
     + "select cast(p_partkey%500 as varchar) article_id, code hcpcs_code from part join code on k=p_partkey",
-    "scan_policy_csv": "select cast(page_id as varchar) NCD_id, length(html) html_chars from pages",
+    # a character beyond Latin-1 is written as a question mark
+    "scan_policy_csv": "select cast(page_id as varchar) NCD_id, length(html) html_chars,"
+    " sha1(regexp_replace(html, '[^\\x{00}-\\x{FF}]', '?', 'g')) html_sha1 from pages",
     "scan_policy_chunks": "select doc_id, sha1(trim(regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{2028}\\x{3000}]+', ' ', 'g'))) body_sha1 from documents",
-    "manifest_text_join": "select 'doc' source, cast(item_id as varchar) source_id, length(trim(text)) chars from benchmark where item_id%5<>0",
+    "manifest_text_join": "select 'doc' source, cast(item_id as varchar) source_id, length(trim(text)) chars, sha1(trim(text)) body_sha1 from benchmark where item_id%5<>0",
     "extract_letter_text": "select doc_id, sha1(case when doc_id%50=0 then '' else trim(regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{2028}\\x{3000}]+', ' ', 'g')) end) text_sha1 from documents",
+    "scan_letter_files": "select doc_id, doc_id%50=0 is_blank, sha1(case when doc_id%50=0 then '' else trim(regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{2028}\\x{3000}]+', ' ', 'g')) end) text_sha1 from documents",
     "scan_upload_csv": """select case when o_orderkey%97=0 or o_orderkey%10=0 then '' else cast(o_orderkey as varchar) end claim_id,
   case when o_orderkey%97=0 or o_orderkey%15=0 then '' else cast(200+o_orderkey%25 as varchar) end drg_code,
   case when o_orderkey%97=0 or o_orderpriority='4-NOT SPECIFIED' then '' else '25000' end primary_diagnosis_code,
   false is_corrupt from orders""",
-    "scan_claim_context_json": "select cast(c_custkey as varchar) claim_id, cast(200+c_nationkey as varchar) drg_code, '49322' first_dx,"
-    " c_custkey%15 length_of_stay_days from customer",
-    "scan_denial_fixtures": "select cast(item_id as varchar) id, 'D-MN-003' denial_code, length(text) chars from benchmark",
+    "scan_claim_context_json": "select '2' scenario, cast(c_custkey as varchar) claim_id, cast(200+c_nationkey as varchar) drg_code, c_mktsegment first_dx,"
+    " c_name second_dx, c_custkey%15 length_of_stay_days from customer"
+    " union all select '3', cast(c_custkey as varchar), cast(200+c_nationkey as varchar), c_mktsegment, c_name, c_custkey%7 from customer where c_custkey%3=0",
+    "scan_denial_fixtures": "select cast(item_id as varchar) id, 'D' denial_type, 'reason ' || item_id%4 denial_reason, 'D-MN-003' denial_code,"
+    " sha1(text) appeal_sha1 from benchmark",
     "write_parquet_zstd": cl.BASE + "select sample_id, stage1_decision, count(*) claims from stage1 group by all",
     "write_summary_csv": cl.ORACLE["rule_summary"],
     "write_metrics": f"with m as ({md.ORACLE['evaluate']}), t as ({md.ORACLE['pr_operating_table']})"

@@ -167,7 +167,8 @@ ro as (select k row_index, upload_id, claim_id, case when blank then 'rejected'
 _ERR = """, e as (select upload_id, k, unnest(list_filter([case when trim(claim_id)='' then 'row ' || k || ': missing claim_id' end,
   case when trim(drg_code)='' then 'row ' || k || ': missing drg_code' end,
   case when trim(dx_code)='' then 'row ' || k || ': missing primary_diagnosis_code' end], lambda x: x is not null)) error from r),
-l as (select upload_id, string_agg(error, ';' order by error) row_errors from (select distinct upload_id, error from e) group by 1),
+l as (select upload_id, string_agg(error, ';' order by error) row_errors from (select upload_id, error, row_number() over (partition by upload_id order by error) nth
+   from (select distinct upload_id, error from e)) where nth <= 100 group by 1),
 c as (select upload_id, count(*) error_count, count(distinct k) invalid_row_count from e group by 1)
 """
 ORACLE = {

@@ -84,6 +84,7 @@ def letter_text(content: Column, name: Column) -> Column:
 
 
 def scan_letters(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path``, ``filename`` and ``extracted_text`` of every letter file, one file a letter."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -92,7 +93,7 @@ def scan_letters(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     )
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(
-        name.alias("filename"), letter_text(F.col("content"), name).alias("extracted_text")
+        "path", name.alias("filename"), letter_text(F.col("content"), name).alias("extracted_text")
     )
 
 
