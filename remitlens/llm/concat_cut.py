@@ -37,7 +37,7 @@ from .words import word_encoder
 
 VOCABULARY, END, ROW = "word_bpe_49k.json", 1, 2048
 #: Bytes of texts that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
 #: Ranges up to which their totals (16 bytes each) are sent to every executor.
 SENT_RANGES = 100_000
 
@@ -77,8 +77,7 @@ def encoded(
             texts = batch.column(1)
             sizes = pc.binary_length(texts).fill_null(0).to_numpy()
             for start, stop in _runs_of(sizes):
-                some = [t or "" for t in texts.slice(start, stop - start).to_pylist()]
-                ids, ends = enc.encode_all(some)
+                ids, ends = enc.encode_all(texts.slice(start, stop - start))
                 starts = np.append(0, ends[:-1])
                 stored = [_stored(ids[a:b]) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(

@@ -2,12 +2,14 @@
 
 The vocabulary this is made for replaces white space by a space and then drops it, so
 no token, no special string and no composed character reaches over white space: the
-ids of a text are those of its words one after the other. Each worker asks the
-library once per distinct word and keeps the answers in arrays of a bounded size. Of
-words in Latin letters, digits and signs it asks the library's model once per distinct run
-of letters or signs, which the library would keep apart as well. The information
-separators, which part words for Python but not for the library, send a text to the
-library as a whole.
+ids of a text are those of its words one after the other. Texts are split as a column, in
+ASCII lower case (as the library lowers them) and with a space between a Latin letter
+and a sign that follows it (the library parts them as well), so few words differ. Each
+worker asks the library once per distinct word and keeps the answers in arrays of a
+bounded size. Of words in Latin letters, digits and signs it asks the library's model once
+per distinct run of letters or signs, which the library would keep apart too. Texts that
+may hold a special string, or an information separator, which part words for the splitter
+but not for the library, go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -19,19 +21,24 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .ranks import file_of
 
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_WHOLE = "[\x1c-\x1f]|<[|]"
 #: Letters that stay one composed letter when lower-cased.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 #: Words of letters, digits and signs; an apostrophe may begin a contraction.
 _PLAIN = re.compile(rf"[!-&(-~{_LETTERS}]+")
+_LETTER_RUN = re.compile(rf"[{_LETTERS}]+")
 _RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-#: Words, runs, and code points of words kept per worker before it starts anew (about 150 MB).
-MOST_WORDS, MOST_RUNS, MOST_CHARS = 1 << 19, 1 << 17, 1 << 24
-#: Stands between texts in a list of words; no word holds a space.
-_END = " "
+_SIGN_AFTER = rf"([{_LETTERS}])([.,;:!?])"
+#: Words, runs, and code points of words kept per worker before it starts anew (about 200 MB).
+MOST_WORDS, MOST_RUNS, MOST_CHARS = 1 << 20, 1 << 15, 1 << 24
+#: Bytes of a text that are split at once.
+PIECE = 1 << 22
+_GAP = re.compile(r"[ \n]")
 
 
 def _byte_signs() -> dict[int, str]:
@@ -76,8 +83,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(file_of(vocabulary))
         self.model = self.library.model
         self.signs = _byte_signs()
-        self.end = [] if end is None else [end]
-        self.end_bytes = _packed(self.end)
+        self.end = end
         self.most = most
         self._clear()
 
@@ -89,19 +95,22 @@ class WordEncoder:
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
 
+    def _tokens(self, run: str) -> bytes:
+        signs = run if run.isascii() else "".join(map(self.signs.__getitem__, run.encode()))
+        return _packed([t.id for t in self.model.tokenize(signs)])
+
     def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
             if len(self.runs) >= MOST_RUNS:
                 self.runs.clear()
-            signs = run if run.isascii() else "".join(map(self.signs.__getitem__, run.encode()))
-            ids = self.runs[run] = _packed([t.id for t in self.model.tokenize(signs)])
+            ids = self.runs[run] = self._tokens(run)
         return ids
 
     def _asked(self, words: list[str]) -> list[bytes]:
         found = [
-            self.end_bytes if w == _END
-            else b"".join([self._run(run) for run in _RUNS.findall(w.lower())]) if _PLAIN.fullmatch(w) and "<|" not in w
+            self._tokens(w.lower()) if _LETTER_RUN.fullmatch(w)
+            else b"".join([self._run(run) for run in _RUNS.findall(w.lower())]) if _PLAIN.fullmatch(w)
             else None
             for w in words
         ]
@@ -122,39 +131,56 @@ class WordEncoder:
         self.used += len(ids)
         self.chars += sum(map(len, words))
 
-    def _places(self, words: list[str]) -> np.ndarray:
+    def _spelled(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``texts`` without special strings or separators, and where each text's ids end."""
         if len(self.place) > self.most or self.chars > MOST_CHARS:
             self._clear()
-        at = np.array(list(map(self.place.__getitem__, words)), np.int64)
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _SIGN_AFTER, r"\1 \2"))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.array(list(map(self.place.__getitem__, distinct)), np.int64)
         if self.place.new:
             self._learn()
-        return at
-
-    def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of ``texts`` (unsigned 32-bit) in one run, and where each text's ids end.
-
-        No special tokens are added, but for the ``end`` of each text.
-        """
-        words: list[str] = []
-        n_words, whole = [], {}
-        for k, text in enumerate(texts):
-            if _SEPARATORS.search(text):
-                whole[k] = np.array(self.library.encode(text, add_special_tokens=False).ids + self.end, "<u4")
-            else:
-                words += text.split()
-                words.append(_END)
-            n_words.append(len(words))
-        at = self._places(words) if words else np.zeros(0, np.int64)
+        at = known[coded.indices.to_numpy()]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         shift = np.repeat(self.starts[at] - (ends - sizes), sizes)
-        ids = self.flat[shift + np.arange(len(shift))]
-        text_ends = np.append(0, ends)[n_words]
-        if not whole:
-            return ids, text_ends
-        cuts = np.append(0, text_ends)
-        parts = [whole.get(k, ids[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
-        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        shift += np.arange(len(shift))
+        n_words = np.cumsum(pc.list_value_length(lists).to_numpy())
+        return self.flat[shift], np.append(0, ends)[n_words]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _long(self, text: str) -> np.ndarray:
+        """A long text, cut where white space stands."""
+        parts, start = [], 0
+        while start < len(text):
+            gap = _GAP.search(text, start + PIECE)
+            stop = gap.start() if gap else len(text)
+            parts.append(self._spelled(pa.array([text[start:stop]]))[0])
+            start = stop
+        return np.concatenate(parts)
+
+    def encode_all(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``texts`` (unsigned 32-bit) in one run, and where each text's ids end.
+
+        No special tokens are added, but for the ``end`` of each text. A null is an empty text.
+        """
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = texts.fill_null("")
+        apart = pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.greater(pc.binary_length(texts), PIECE))
+        ids, ends = self._spelled(pc.if_else(apart, "", texts))
+        if pc.any(apart).as_py():
+            cuts, parts = np.append(0, ends), []
+            for k, one in enumerate(apart.to_pylist()):
+                text = texts[k].as_py() if one else ""
+                ask = self._whole if re.search(_WHOLE, text) else self._long
+                parts.append(ask(text) if one else ids[cuts[k] : cuts[k + 1]])
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        if self.end is None:
+            return ids, ends
+        return np.insert(ids, ends, self.end), ends + np.arange(1, len(ends) + 1)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from remitlens.llm import concat_cut, merkle, prefix_trie
+from remitlens.llm import concat_cut, merkle, prefix_trie, words
 from remitlens.llm.common import crc32_sql, table
 from remitlens.llm.words import WordEncoder
 
@@ -162,6 +162,21 @@ def test_word_ids_of_long_words():
     assert whole.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(words, "PIECE", 40)
+    rng = random.Random(8)
+    for _ in range(60):
+        text = "".join(rng.choices(PARTS, k=80))
+        assert whole.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_white_space_is_the_librarys():
+    """Every character alone between two letters: the splitter parts them only where the library does."""
+    for c in map(chr, range(0x3100)):
+        if c not in "\x1c\x1d\x1e\x1f":
+            assert whole.encode(f"a{c}b").tolist() == library.encode(f"a{c}b", add_special_tokens=False).ids
+
+
 def test_word_ids_of_the_tables():
     for r in duckdb.execute(f"select text from '{SF}/documents.parquet'").fetchall():
         assert whole.encode(r[0] or "").tolist() == library.encode(r[0] or "", add_special_tokens=False).ids
