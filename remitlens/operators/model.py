@@ -179,14 +179,12 @@ def prefix_precisions(assembled: DataFrame, model) -> list[float]:
             for start in range(0, len(leaves), 2048):
                 margins = np.round(np.cumsum(padded[tree, leaves[start : start + 2048]], axis=1), 9) + 0.0
                 label = labels[start : start + 2048]
-                for t in range(n):
-                    scores, at = np.unique(margins[:, t], return_inverse=True)
-                    pos = np.bincount(at, weights=label, minlength=len(scores)).astype(np.int64)
-                    every = np.bincount(at, minlength=len(scores))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(scores), t)), pa.array(scores), pa.array(pos), pa.array(every - pos)],
-                        names=["tree", "margin", "pos", "neg"],
-                    )
+                found = [np.unique(margins[:, t], return_inverse=True) for t in range(n)]
+                pos = [np.bincount(at, weights=label, minlength=len(m)).astype(np.int64) for m, at in found]
+                every = [np.bincount(at, minlength=len(m)) for m, at in found]
+                hits = np.concatenate(pos)
+                columns = [tree.repeat([len(p) for p in pos]), np.concatenate([m for m, _ in found]), hits, np.concatenate(every) - hits]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "margin", "pos", "neg"])
 
     leaved = model.copy().setLeafCol("leaves").transform(assembled)
     counts = (
