@@ -136,7 +136,7 @@ class TreeSettings:
 #: Classes of the probability that spread the scores of one tree over tasks.
 SCORE_CLASSES = 1024
 #: Rows that one task of the boosting holds at least.
-ROWS_PER_TASK = 100_000
+ROWS_PER_TASK = 25_000
 #: Trees between two checkpoints of the running margins.
 CHECKPOINT_TREES = 10
 
