@@ -59,14 +59,10 @@ def row_error_rows(df: DataFrame) -> DataFrame:
     return df.select("upload_id", "row_index", F.explode(row_errors(df)).alias("error"))
 
 
-#: Fixed value: error texts that the summary of an upload lists.
-LISTED_ERRORS = 100
-
-
-def schema_check(df: DataFrame, listed: int = LISTED_ERRORS) -> DataFrame:
+def schema_check(df: DataFrame, listed: int | None = None) -> DataFrame:
     """One row per upload. ``error_count`` counts errors, ``invalid_row_count`` rows;
-    ``row_errors`` lists the first ``listed`` of the distinct error texts, in order;
-    ``row_error_rows`` has all of them, as a table."""
+    ``row_errors`` lists the distinct error texts in order, only the first ``listed`` if
+    given; ``row_error_rows`` has all of them, as a table."""
     missing = missing_columns(df)
     checked = df.select("upload_id", row_errors(df).alias("errors"))
     counts = checked.groupBy("upload_id").agg(
@@ -75,8 +71,9 @@ def schema_check(df: DataFrame, listed: int = LISTED_ERRORS) -> DataFrame:
         F.count_if(F.size("errors") > 0).alias("invalid_row_count"),
     )
     distinct = checked.select("upload_id", F.explode("errors").alias("error")).distinct()
-    first = Window.partitionBy("upload_id").orderBy("error")
-    distinct = distinct.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= listed)
+    if listed is not None:
+        first = Window.partitionBy("upload_id").orderBy("error")
+        distinct = distinct.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= listed)
     texts = distinct.groupBy("upload_id").agg(F.array_sort(F.collect_list("error")).alias("row_errors"))
     blocking = BLOCKING + ", ".join(missing) if missing else ""
     return counts.join(texts, "upload_id", "left").select(

@@ -136,6 +136,14 @@ def test_upload_scan_and_check(spark, tmp_path):
     assert [r.status for r in results] == ["fallback"] * 3 and results[0].denial_probability is None
 
 
+def test_check_lists_every_error(spark):
+    blank = {c: F.lit("x") for c in up.UPLOAD_REQUIRED} | {"claim_id": F.lit(" "), "upload_id": F.lit(1)}
+    table = spark.range(150).select(F.col("id").alias("row_index"), *[v.alias(c) for c, v in blank.items()])
+    texts = sorted(f"row {i}: missing claim_id" for i in range(150))
+    assert up.schema_check(table).first().row_errors == texts
+    assert up.schema_check(table, listed=100).first().row_errors == texts[:100]
+
+
 def test_signals_and_bands(spark):
     df = spark.createDataFrame(
         [(1, 0, 3, 1, 0, 3.0), (0, 0, 0, 2, 1, 0.0)],
