@@ -1,6 +1,7 @@
 """Readers of rule files, uploads and context files; sinks; the whole batch run."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,18 @@ def test_chunk_files(spark, tmp_path):
     assert [(r.source_id, r.body) for r in rows] == [("a", "line one\n\nline two")]
 
 
+def test_chunk_files_lie_in_one_folder(spark):
+    from driver_queries import files as fl
+
+    docs = [("1", "one", True), ("2", "two\nlines", True), ("3", None, True), ("4", "gone", False), ("5", "", True)]
+    docs = spark.createDataFrame(docs, "key string, text string, is_written boolean")
+    manifest, root = fl._chunk_files(spark, docs)
+    read = dc.scan_policy_chunks(spark, manifest, root).collect()
+    assert {r.source_id: r.body for r in read if r.source_id != "5"} == {"1": "one", "2": "two\nlines"}
+    # a folder per row made writing, listing and committing slow
+    assert not [p for p in Path(root).iterdir() if p.is_dir()]
+
+
 def test_context_and_cases(spark, tmp_path):
     context = {"scenario_2": {"claim": {"claim_id": "1", "diagnoses": {"49322": "x"}}, "ivr_status": {"carc_code": "CO-4"}}}
     (tmp_path / "c.json").write_text(json.dumps(context, indent=1))
