@@ -196,6 +196,15 @@ def test_few_pairs_are_scored(spark):
     assert index.blocks.select(F.max(F.size("held"))).first()[0] < 100
 
 
+def test_counts_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(rt, "PART_CHARS", 50, raising=False)
+    texts = spark.createDataFrame([(i, f"word{i % 3} again word{i % 3}") for i in range(40)] + [(40, None)], "id long, text string")
+    counts = rt.term_counts(texts, "id", "text", [])
+    assert counts.rdd.getNumPartitions() >= 40 * 17 // 50
+    got = Counter((r.term, r.tf) for r in counts.collect())
+    assert got[("again", 1)] == 40 and got[("word0", 2)] == 14 and got[("word0 again", 1)] == 14
+
+
 def test_english_stop_words_and_bigrams_after_removal(spark):
     df = spark.createDataFrame([("State of the Art, a b",)], "t string")
     words = rt.tokens(F.col("t"), rt.english_stop_words())
