@@ -214,3 +214,15 @@ def test_final_join_is_null_safe(spark):
     )
     out = ml.final_join(s1, ml.best_score_per_key(scores))
     assert {r.CLM_ID: r[ml.PROBABILITY] for r in out.collect()} == {"1": 0.7, "2": None, None: 0.4}
+
+
+def test_codes_of_claims_in_one_row_are_dropped_before_they_are_counted(spark):
+    """Few claims in several segments: their ids reach the scan, so no other claim's codes are shuffled."""
+    df = claims(
+        spark, dict(CLM_ID="one", HCPCS_CD_1="A", HCPCS_CD_2="B"), dict(CLM_ID="two", HCPCS_CD_1="A"),
+        dict(CLM_ID="two", HCPCS_CD_1="C"), dict(HCPCS_CD_1="A"), dict(HCPCS_CD_1="B"),
+    )
+    codes = rl._split_claim_codes(facts_of(df))
+    assert sorted(map(tuple, codes.collect())) == [("two", "A"), ("two", "C")]
+    plan = codes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join LeftSemi")
