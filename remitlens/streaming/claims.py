@@ -71,13 +71,14 @@ def _convict(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     before = (noncovered, unbundled, linked and bare)
     codes = set(codes)
     for batch in batches:
-        noncovered |= bool(batch["noncovered"].any())
-        linked |= bool(batch["linked"].any())
-        bare |= bool(batch["bare"].any())
+        # a claim has few rows, so plain values cost less than a frame's own operations
+        noncovered |= bool(batch["noncovered"].values.any())
+        linked |= bool(batch["linked"].values.any())
+        bare |= bool(batch["bare"].values.any())
         if not unbundled:
-            paired = batch[batch["partners"].map(len) > 0]
-            codes.update(paired["hcpcs_code"])
-            unbundled = any(not codes.isdisjoint(partners) for partners in paired["partners"])
+            paired = [(c, p) for c, p in zip(batch["hcpcs_code"].values, batch["partners"].values) if len(p)]
+            codes.update(code for code, _ in paired)
+            unbundled = any(not codes.isdisjoint(partners) for _, partners in paired)
     # an unbundled claim stays one, whatever codes follow
     state.update((sorted(codes) if not unbundled else [], noncovered, linked, bare, unbundled))
     now = (noncovered, unbundled, linked and bare)
