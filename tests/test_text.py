@@ -15,6 +15,7 @@ from remitlens.operators import corpus as co
 from remitlens.operators import letters as lt
 from remitlens.operators import retrieval as rt
 from remitlens.plans import appeals_run as ar
+from remitlens.session import cut_lineage
 from remitlens.sources import documents as dc
 
 
@@ -196,6 +197,29 @@ def test_few_pairs_are_scored(spark):
     assert index.blocks.select(F.max(F.size("held"))).first()[0] < 100
 
 
+@pytest.mark.parametrize("terms", [500_000, 0])
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch, terms):
+    """Scores are added up in tasks of about ``PAIRS`` pairs, and no pair is shuffled for that
+    while the terms asked for are few; the rows are those of all scores either way."""
+    monkeypatch.setattr(rt, "PAIRS", 100, raising=False)
+    monkeypatch.setattr(rt, "ASKED_TERMS", terms, raising=False)
+    texts = [(f"c{i:03d}", f"common w{i % 7} w{i % 11}") for i in range(200)]
+    chunks = spark.createDataFrame(texts, "chunk string, text string")
+    queries = spark.createDataFrame([(i, f"common w{i}") for i in range(9)], "query int, text string")
+    fitted = rt.fit_index(chunks, "chunk", STOP)
+    made = rt.block_index(fitted, "chunk", 8)
+    stored = rt.BlockIndex(made.idf, cut_lineage(made.blocks))
+    scores = rt.promising_scores(stored, queries, "chunk", "query", STOP, 3)
+    if terms:
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Sort " not in plan
+        assert scores.rdd.getNumPartitions() >= 200 * 9 // 100
+    want = rt.top_k(rt.similarities(fitted, queries, "chunk", "query", STOP), "query", "chunk", 3)
+    columns = ["query", "rank", "chunk", "score"]
+    got = rt.top_k(scores, "query", "chunk", 3).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.select(columns).collect()))
+
+
 def test_counts_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(rt, "PART_CHARS", 50, raising=False)
     texts = spark.createDataFrame([(i, f"word{i % 3} again word{i % 3}") for i in range(40)] + [(40, None)], "id long, text string")
