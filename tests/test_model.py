@@ -152,3 +152,15 @@ def test_shares_are_exact(spark, patients, n):
     for label in (0, 1):
         inner = [r.side for r in sided if r.side != "test" and r.is_denied == label]
         assert inner.count("val") == -(-len(inner) // 5)
+
+
+def test_boosting_runs_in_as_many_tasks_as_there_are_slots(spark, monkeypatch):
+    """Every level of every tree is a job, so its tasks are not a number of rows each but one a slot."""
+    assert [ml.boosting_tasks(n, 12) for n in (0, 1, 25_001, 300_000, 3_500_000)] == [1, 1, 2, 12, 12]
+    assert [ml.boosting_tasks(n * ml.MOST_ROWS, 12) for n in (12, 13, 25)] == [12, 24, 36]
+    monkeypatch.setattr(ml, "ROWS_PER_TASK", 10)
+    used = []
+    fit = ml.GBTClassifier.fit
+    monkeypatch.setattr(ml.GBTClassifier, "fit", lambda self, df: used.append(df.rdd.getNumPartitions()) or fit(self, df))
+    ml.train_gbt(features(spark, 400), ml.TreeSettings(trees=2, patience=None))
+    assert used == [spark.sparkContext.defaultParallelism]
