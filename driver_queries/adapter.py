@@ -70,8 +70,9 @@ def claim_segments(lines: DataFrame) -> DataFrame:
         "l_orderkey", "code", "ind", "dx", "n",
         F.explode(F.sequence(F.lit(0).cast("bigint"), last_piece)).alias("block"),
     ).withColumn("size", F.least(F.col("n") - F.col("block") * SLOTS, F.lit(SLOTS)))
-    blocks = pieces.groupBy("l_orderkey", "block").agg(
-        F.array_sort(F.collect_list(F.struct("code", "ind", "dx", "size"))).alias("kinds")
+    # dealt by order, blocks need no exchange of their own and none to meet their order
+    blocks = pieces.repartition("l_orderkey").groupBy("l_orderkey", "block").agg(
+        F.sort_array(F.collect_list(F.struct("code", "ind", "dx", "size"))).alias("kinds")
     )
     laid_out = blocks.select(
         "l_orderkey",

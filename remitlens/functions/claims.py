@@ -68,7 +68,8 @@ def any_equals(df: DataFrame, group: tuple[str, int], target: str) -> Column:
     names = slot_names(df, group)
     if not names:
         return F.lit(False)
-    return F.coalesce(F.lit(target).isin(*[F.trim(F.col(n)) for n in names]), F.lit(False))
+    # the array is the same for every target, so a row's slots are trimmed once
+    return F.coalesce(F.array_contains(F.array(*[F.trim(F.col(n)) for n in names]), target), F.lit(False))
 
 
 def count_populated(
@@ -77,11 +78,8 @@ def count_populated(
     """Number of filled slots; ``blank_words`` are texts that also mean "empty"."""
 
     def filled(name: str) -> Column:
-        value = present(F.col(name))
-        ok = value.isNotNull()
-        if blank_words:
-            ok = ok & ~F.coalesce(value.isin(*blank_words), F.lit(False))
-        return ok.cast("int")
+        value = F.trim(F.col(name).cast("string"))
+        return F.coalesce(~value.isin("", *blank_words), F.lit(False)).cast("int")
 
     return reduce(add, [filled(n) for n in slot_names(df, group)], F.lit(0))
 

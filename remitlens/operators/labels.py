@@ -74,10 +74,14 @@ def soft_symptom_risk(
     strip_dots: bool = False,
 ) -> DataFrame:
     """Symptom-only first line diagnosis together with a definitive procedure."""
-    spark = facts.sparkSession
-    table = spark.createDataFrame(
-        weights or fc.procedure_weights(), "hcpcs_code string, weight double"
+    listed = F.array(
+        *[
+            F.struct(F.lit(c).cast("string").alias("hcpcs_code"), F.lit(w).cast("double").alias("weight"))
+            for c, w in weights or fc.procedure_weights()
+        ]
     )
+    # rows made from literals are known to be few, so codes meet them where they lie
+    table = facts.sparkSession.range(1).select(F.inline(listed))
     symptomatic = (
         facts.where(F.col("CLM_ID").isNotNull())
         .where(fc.symptom_primary(F.col("first_line_dx"), strip_dots=strip_dots))

@@ -91,6 +91,19 @@ def _row_pairs(facts: DataFrame) -> DataFrame:
     )
 
 
+def _row_partners(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Claims with a row that holds both codes of a listed pair: a code fetches its partners
+    and these are looked for in the row, so a row is as long as its codes, not its pairs."""
+    partners = pairs.groupBy("code_lo").agg(F.collect_set("code_hi").alias("partners"))
+    return (
+        facts.where(F.col("CLM_ID").isNotNull() & (F.size("codes") > 1))
+        .select("CLM_ID", "codes", F.explode(F.array_distinct("codes")).alias("code_lo"))
+        .join(partners, "code_lo")
+        .where(F.arrays_overlap("codes", "partners"))
+        .select("CLM_ID")
+    )
+
+
 def _split_claim_codes(facts: DataFrame) -> DataFrame:
     """Distinct codes of the claims that arrive in several segments.
 
@@ -148,7 +161,7 @@ def listed_pair_claims(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     with itself is no pair.
     """
     pairs = pairs.where("code_lo < code_hi").select("code_lo", "code_hi").distinct()
-    inside = _row_pairs(facts).join(pairs, ["code_lo", "code_hi"], "left_semi").select("CLM_ID")
+    inside = _row_partners(facts, pairs)
     split = _split_claim_codes(facts)
     wanted = (
         split.join(pairs, split["hcpcs_code"] == pairs["code_lo"])

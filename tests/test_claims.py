@@ -226,3 +226,65 @@ def test_codes_of_claims_in_one_row_are_dropped_before_they_are_counted(spark):
     assert sorted(map(tuple, codes.collect())) == [("two", "A"), ("two", "C")]
     plan = codes._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Join LeftSemi")
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_segments_lie_by_order_after_two_exchanges(spark):
+    """Kinds are counted in one exchange and dealt by order in one more; what is keyed by order needs no third."""
+    from driver_queries import adapter as ad
+
+    rows = [(1, "A", None, "x")] * 30 + [(1, "B", "C", None)] * 2 + [(2, "A", None, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, code string, ind string, dx string")
+    segments = ad.claim_segments(lines)
+    assert sorted((r.l_orderkey, r.block, r.segment, len(r.slots)) for r in segments.collect()) == [
+        (1, 0, 0, 13), (1, 0, 1, 2), (1, 1, 0, 13), (1, 2, 0, 4), (2, 0, 0, 1),
+    ]
+    assert _exchanges(segments.groupBy("l_orderkey").count()) == 2
+
+
+def test_facts_do_not_wait_for_the_wide_claims(spark, tmp_path):
+    """Facts come out the same from the stored wide table and, without storing it, from its rows as they are made."""
+    from driver_queries import prepared as pt
+
+    frames = {
+        "part": spark.createDataFrame([(1, "Brand#1", "PROMO"), (2, "Brand#13", "X")], "p_partkey long, p_brand string, p_type string"),
+        "lineitem": spark.createDataFrame(
+            [(k, 1 + i % 2, "R" if i % 3 == 0 else "N", "F" if i % 4 else "O", 0.08, 0.1) for k in (1, 2) for i in range(9 * k)],
+            "l_orderkey long, l_partkey long, l_returnflag string, l_linestatus string, l_tax double, l_discount double",
+        ),
+        "orders": spark.range(1, 5).selectExpr(
+            "id o_orderkey", "id o_custkey", "timestamp'1995-01-01' o_orderdate", "'4-NOT SPECIFIED' o_orderpriority", "'P' o_orderstatus"),
+        "customer": spark.range(1, 5).selectExpr("id c_custkey", "cast(id as int) c_nationkey"),
+    }
+    first, second = str(tmp_path / "first"), str(tmp_path / "second")
+    for d in (first, second):
+        for name, df in frames.items():
+            df.write.parquet(f"{d}/{name}.parquet")
+    made = sorted(map(repr, pt.facts(spark, first).collect()))
+    assert not [k for k in pt._WRITTEN if k[1:] == (first, "claims")]
+    assert pt.claims(spark, second).count() == 5
+    assert sorted(map(repr, pt.facts(spark, second).collect())) == made
+
+
+def test_partners_are_looked_for_inside_the_row(spark, ptp):
+    """A row of many codes is exploded into its codes, not into its pairs."""
+    many = dict(CLM_ID="many", HCPCS_CD_44="A", HCPCS_CD_45=" B", **{f"HCPCS_CD_{i}": f"Z{i}" for i in range(1, 40)})
+    df = claims(spark, many, dict(CLM_ID="one", HCPCS_CD_1="A", HCPCS_CD_2="A"), dict(HCPCS_CD_1="A", HCPCS_CD_2="B"))
+    hit = rl.listed_pair_claims(facts_of(df), rl.canonical_pairs(ptp))
+    assert ids(hit) == ["many"]
+    assert "lambdafunction" not in hit._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weights_do_not_move_the_codes(spark):
+    """The weights are few and known to be: no code is shuffled to meet them."""
+    df = claims(
+        spark, dict(CLM_ID="1", HCPCS_CD_1="70553", HCPCS_CD_2="27447", LINE_ICD9_DGNS_CD_1="78650"),
+        dict(CLM_ID="2", HCPCS_CD_1="70553", LINE_ICD9_DGNS_CD_1="4019"),
+    )
+    risk = lb.soft_symptom_risk(facts_of(df), strip_dots=True)
+    assert [tuple(r) for r in risk.collect()] == [("1", 1.0, lb.SYMPTOM_SOURCE)]
+    plan = risk._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "hashpartitioning(hcpcs_code" not in plan
