@@ -77,11 +77,12 @@ def count_populated(
 ) -> Column:
     """Number of filled slots; ``blank_words`` are texts that also mean "empty"."""
 
-    def filled(name: str) -> Column:
-        value = F.trim(F.col(name).cast("string"))
-        return F.coalesce(~value.isin("", *blank_words), F.lit(False)).cast("int")
-
-    return reduce(add, [filled(n) for n in slot_names(df, group)], F.lit(0))
+    names = slot_names(df, group)
+    if not names:
+        return F.lit(0)
+    # a test of an array's slots, since a sum over the columns made methods too long to be compiled
+    slots = F.array(*[F.col(n).cast("string") for n in names])
+    return F.size(F.filter(slots, lambda c: ~F.trim(c).isin("", *blank_words)))
 
 
 def code_array(df: DataFrame) -> Column:
@@ -165,8 +166,9 @@ def claim_month(service: Column) -> Column:
 
 def claim_month_serving(service: Column) -> Column:
     text = F.trim(service.cast("string"))
-    month = F.when(text.rlike("^[0-9]{6,}$"), F.substring(text, 5, 2).try_cast("int"))
-    return F.coalesce(F.when(month.between(1, 12), month), F.lit(0))
+    # six digits or more, the fifth and sixth from 01 to 12
+    month = F.when(text.rlike("^[0-9]{4}(0[1-9]|1[0-2])[0-9]*$"), F.substring(text, 5, 2).try_cast("int"))
+    return F.coalesce(month, F.lit(0))
 
 
 def safe_double(value: Column, default: float = 0.0) -> Column:

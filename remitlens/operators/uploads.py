@@ -102,10 +102,14 @@ def serving_features(df: DataFrame, keep: list[str]) -> DataFrame:
     def text(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit("")
 
-    header = fc.count_populated(df, HEADER_DX, EMPTY_WORDS)
-    line = fc.count_populated(df, LINE_DX, EMPTY_WORDS)
-    days = double("CLM_UTLZTN_DAY_CNT")
-    reference = double("drg_los_reference", "DRG_LOS_REFERENCE")
+    # what several features are made of is read from its text once
+    read = {
+        "x_header": fc.count_populated(df, HEADER_DX, EMPTY_WORDS),
+        "x_line": fc.count_populated(df, LINE_DX, EMPTY_WORDS),
+        "x_days": double("CLM_UTLZTN_DAY_CNT"),
+        "x_reference": double("drg_los_reference", "DRG_LOS_REFERENCE"),
+    }
+    header, line, days, reference = map(F.col, read)
     features = {
         "icd9_diag_count": header,
         "line_icd9_diag_count": line,
@@ -126,7 +130,7 @@ def serving_features(df: DataFrame, keep: list[str]) -> DataFrame:
         "bene_sex": integer("BENE_SEX_IDENT_CD"),
         "chronic_condition_count": fc.chronic_count(df, fc.TRUTHY_SERVING, fold_case=True),
     }
-    return df.select(*keep, *[features[n].alias(n) for n in FEATURES if n not in keep])
+    return df.withColumns(read).select(*keep, *[features[n].alias(n) for n in FEATURES if n not in keep])
 
 
 def adapt_upload(df: DataFrame) -> DataFrame:
@@ -221,11 +225,9 @@ def stored_threshold(metrics: DataFrame | None) -> Column:
 
 
 def row_text(df: DataFrame, skip: list[str]) -> Column:
-    def cell(name: str) -> Column:
-        value = F.trim(F.col(f"`{name}`").cast("string"))
-        return F.when((value != "") & ~value.isin(*EMPTY_WORDS), F.col(f"`{name}`").cast("string"))
-
-    return F.concat_ws(" ", *[cell(c) for c in df.columns if c not in skip])
+    # one small test of an array's cells instead of a branch per column, which made a method too long to be compiled
+    cells = F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns if c not in skip]).cast("array<string>")
+    return F.concat_ws(" ", F.filter(cells, lambda c: ~F.trim(c).isin("", *EMPTY_WORDS)))
 
 
 def route(rows: DataFrame, threshold: Column) -> DataFrame:

@@ -248,3 +248,32 @@ def test_upload_rows_are_dealt_to_all_tasks(spark, tmp_path):
     sizes = made.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= spark.sparkContext.defaultParallelism
     assert sorted(r.row_index for r in made.select("row_index").collect()) == list(range(1, 201))
+
+
+def test_upload_rows_are_scored_by_methods_that_are_compiled(spark, capsys):
+    """The JVM runs a method of more than 8,000 bytes uncompiled; a branch per cell made such methods."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from remitlens.operators import uploads as up
+    from remitlens.session import cut_lineage
+
+    names = [*(f"HCPCS_CD_{i}" for i in range(1, 14)), *(f"LINE_ICD9_DGNS_CD_{i}" for i in range(1, 14)),
+             "drg_code", "drg_description", "primary_diagnosis_code", "primary_diagnosis_description", "carc_code",
+             "carc_description", "rarc_code", "rarc_description", "CLM_FROM_DT", "BENE_BIRTH_DT", "CLM_UTLZTN_DAY_CNT",
+             "drg_los_reference", "MEDREIMB_IP"]
+    cells = {n: F.when(F.col("row_index") % 5 > 0, F.lit([" ", "nan", "None", "", "x "][i % 5])) for i, n in enumerate(names)}
+    rows = spark.range(10).select(
+        F.col("id").alias("row_index"), F.lit(1).alias("upload_id"), F.lit("c").alias("claim_id"),
+        *[c.alias(n) for n, c in cells.items()],
+    ).withColumn("CLM_FROM_DT", F.when(F.col("row_index") % 2 == 0, "199507").otherwise("19951301"))
+    table = cut_lineage(rows, "upload")
+    texted = table.withColumn("row_text", up.row_text(table, ["upload_id", "row_index"]))
+    seen = up.serving_features(texted, ["row_index", "row_text"]).orderBy("row_index").collect()
+    assert [(r.hcpcs_count, r.line_icd9_diag_count, r.claim_month) for r in seen[:3]] == [(0, 0, 7), (2, 3, 0), (2, 3, 7)]
+    assert (seen[0].row_text, seen[2].row_text) == ("c 199507", "c " + " ".join(["x "] * 6) + " 199507")
+    capsys.readouterr()
+    up.score_upload(table, None).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
