@@ -111,6 +111,27 @@ def test_chunk_files_lie_in_one_folder(spark):
     assert not [p for p in Path(root).iterdir() if p.is_dir()]
 
 
+def test_chunk_files_are_named_without_being_read(spark, monkeypatch):
+    """Each file was read once more to find out its name; keys that no file name can hold are read back too."""
+    from driver_queries import files as fl
+
+    docs = [(k, f"text of {k}", True) for k in ("a/b", "c:d ?", "é%20", "x" * 300)] + [(None, "no key", True), ("gone", "g", False), ("two", "1", True), ("two", "1", True)]
+    docs = spark.createDataFrame(docs, "key string, text string, is_written boolean")
+    want = {k: f"text of {k}" for k in ("a/b", "c:d ?", "é%20", "x" * 300)} | {"two": "1\nsource: doc\nsource_id: two\nversion: 1\ntitle: t\nchunk: 1/1\n1"}
+    reads = []
+    text = type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "text", lambda self, path, **a: reads.append(path) or text(self, path, **a))
+    for mounted in (True, False):
+        monkeypatch.setattr(fl, "_is_mounted", lambda _: mounted)
+        manifest, root = fl._chunk_files(spark, docs)
+        assert len(reads) == (not mounted)
+        got = dc.scan_policy_chunks(spark, manifest, root).collect()
+        assert {r.source_id: r.body for r in got} == want and len(got) == 6
+        reads.clear()
+    nothing = dc.scan_policy_chunks(spark, *fl._chunk_files(spark, docs.where("false")))
+    assert nothing.count() == 0
+
+
 def test_context_and_cases(spark, tmp_path):
     context = {"scenario_2": {"claim": {"claim_id": "1", "diagnoses": {"49322": "x"}}, "ivr_status": {"carc_code": "CO-4"}}}
     (tmp_path / "c.json").write_text(json.dumps(context, indent=1))
