@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,10 @@ from remitlens.session import cut_lineage
 #: Code sightings a task holds before it passes them on.
 THINNED = 100_000
 FLAGS = ("rule_hcpcs_noncovered", "rule_ptp_unbundling", "rule_lcd_condition_unmet")
-STATE = "codes array<string>, noncovered boolean, linked boolean, bare boolean, unbundled boolean"
+#: Groups of claims that share a state. A group costs far more than its claims, so a few hundred
+#: claims a group are well; the number must stay the same as long as a checkpoint is used.
+GROUPS = 1 << 14
+STATE = "claims string"
 
 
 def arriving(
@@ -66,24 +70,25 @@ def _sightings(facts: DataFrame) -> DataFrame:
 
 
 def _convict(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold what arrived into the claim's state; a row when a rule convicts it for the first time."""
-    codes, noncovered, linked, bare, unbundled = state.get if state.exists else ([], False, False, False, False)
-    before = (noncovered, unbundled, linked and bare)
-    codes = set(codes)
+    """Fold what arrived into the claims of a group; a row for each that a rule convicts for the first time."""
+    held = {c: (codes, *flags) for c, codes, *flags in json.loads(state.get[0])} if state.exists else {}
+    before: dict[str, tuple] = {}
     for batch in batches:
-        # a claim has few rows, so plain values cost less than a frame's own operations
-        noncovered |= bool(batch["noncovered"].values.any())
-        linked |= bool(batch["linked"].values.any())
-        bare |= bool(batch["bare"].values.any())
-        if not unbundled:
-            paired = [(c, p) for c, p in zip(batch["hcpcs_code"].values, batch["partners"].values) if len(p)]
-            codes.update(code for code, _ in paired)
-            unbundled = any(not codes.isdisjoint(partners) for _, partners in paired)
-    # an unbundled claim stays one, whatever codes follow
-    state.update((sorted(codes) if not unbundled else [], noncovered, linked, bare, unbundled))
-    now = (noncovered, unbundled, linked and bare)
-    if now != before:
-        yield pd.DataFrame([(key[0], *now)], columns=["CLM_ID", *FLAGS])
+        # plain values cost less than a frame's own operations
+        columns = [batch[c].values for c in ("CLM_ID", "hcpcs_code", "noncovered", "linked", "bare", "partners")]
+        for claim, code, covers_not, links, is_bare, partners in zip(*columns):
+            codes, noncovered, linked, bare, unbundled = held.get(claim, ([], False, False, False, False))
+            before.setdefault(claim, (noncovered, unbundled, linked and bare))
+            if not unbundled and len(partners):
+                unbundled = not set(codes).isdisjoint(partners)
+                # an unbundled claim stays one, whatever codes follow
+                codes = [] if unbundled else codes if code in codes else [*codes, code]
+            held[claim] = (codes, noncovered or bool(covers_not), linked or bool(links), bare or bool(is_bare), unbundled)
+    state.update((json.dumps([(c, *v) for c, v in held.items()]),))
+    now = {c: (held[c][1], held[c][4], held[c][2] and held[c][3]) for c in before}
+    found = [(c, *now[c]) for c in before if now[c] != before[c]]
+    if found:
+        yield pd.DataFrame(found, columns=["CLM_ID", *FLAGS])
 
 
 def stream_stage1(
@@ -94,12 +99,14 @@ def stream_stage1(
     out: str,
     checkpoint: str,
     trigger: dict | None = None,
+    groups: int = GROUPS,
 ) -> StreamingQuery:
     """Judge arriving claim rows with the batch rules.
 
     A claim's segments may arrive in different batches. Spark's state holds per claim what
     the rules need of the rows so far: the codes that stand in a listed pair and
-    four flags, never the rows. A batch reads nothing of its history. Rows go to ``out``
+    four flags, never the rows; claims are held in ``groups`` by a hash of their id. A batch reads
+    nothing of its history but the states of the groups it has claims of. Rows go to ``out``
     as they arrive, a conviction goes there when a rule first finds it; convictions are
     never taken back. ``latest_verdicts`` puts the two together.
     """
@@ -113,7 +120,8 @@ def stream_stage1(
     )
     useful = known.where(F.col("bare") | F.col("noncovered") | F.col("linked") | (F.size("partners") > 0))
     schema = ", ".join(["CLM_ID string", *[f"{f} boolean" for f in FLAGS]])
-    found = useful.groupBy("CLM_ID").applyInPandasWithState(
+    grouped = useful.withColumn("group", F.pmod(F.xxhash64("CLM_ID"), F.lit(groups)))
+    found = grouped.groupBy("group").applyInPandasWithState(
         _convict, schema, STATE, "append", GroupStateTimeout.NoTimeout
     )
     rows = facts.select(*CLAIM_KEY, "seen_b", "seen_c", F.lit("row").alias("kind"))

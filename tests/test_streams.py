@@ -116,6 +116,26 @@ def test_segments_of_a_claim_in_different_batches(spark, tmp_path):
     assert dict(got)["1"] == rl.UNBUNDLING and dict(got)["3"] == rl.CONDITION_UNMET
 
 
+def test_claims_share_a_state(spark, tmp_path):
+    """A state and a frame per claim made many claims slow; claims of a group do not mix."""
+    rng = random.Random(4)
+    batches = [[fact(str(rng.randrange(150)), rng.sample(["A", "B", "L", "99999", "x", "y"], 2)[: rng.randrange(3)], rng.randrange(2)) for _ in range(120)] for _ in range(3)]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in batches:
+        spark.createDataFrame(rows, FACTS).coalesce(1).write.mode("append").parquet(path)
+    stream = scl.arriving(spark, path, spark.read.parquet(path).schema, max_files=1)
+    query = scl.stream_stage1(stream, *rule_tables(spark), out, str(tmp_path / "ck"), groups=5)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 5
+    got = sorted((r.CLM_ID, r.stage1_reason_code) for r in scl.latest_verdicts(spark, out).collect())
+    whole = rl.stage1(spark.createDataFrame(sum(batches, []), FACTS), *rule_tables(spark)).collect()
+    assert got == sorted((r.CLM_ID, r.stage1_reason_code) for r in whole)
+    assert len({reason for _, reason in got}) == 4
+    # a conviction is told when a rule first finds it, not again
+    told = [tuple(r) for r in spark.read.parquet(out).where("kind = 'conviction'").select("CLM_ID", *scl.FLAGS).collect()]
+    assert len(set(told)) == len(told)
+
+
 def test_a_claim_that_owns_a_third_of_all_rows(spark):
     """Rows of a hot claim are made distinct before any join on the claim id."""
     rows = [fact("hot", [f"c{k % 50}", "L"], dx=0) for k in range(500)] + [fact(str(k), ["A", "B"]) for k in range(1000)]
